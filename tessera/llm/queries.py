@@ -1,12 +1,14 @@
 """Queries of the operators of this subpackage, and their SQL."""
 
-from tessera.llm import licenses, mixing, secrets, sharding
+from tessera.llm import decontaminate, licenses, mixing, neardup, secrets, sharding
 
 
 def queries():
     return {
         "op1_license_scans": licenses.op1_license_scans,
+        "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
         "op5_sharding": sharding.op5_sharding,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_secret_scans": secrets.op7_secret_scans,
         "op10_mixing": mixing.op10_mixing,
     }
@@ -15,6 +17,7 @@ def queries():
 def oracle_sql():
     return {
         "op1_license_scans": licenses.op1_sql(),
+        "op6_benchmark_decontamination": decontaminate.op6_sql(),
         "op7_secret_scans": secrets.op7_sql(),
         "op10_mixing": mixing.op10_sql(),
     }
