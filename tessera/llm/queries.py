@@ -1,12 +1,13 @@
 """Queries of the operators of this subpackage, and their SQL."""
 
-from tessera.llm import decontaminate, licenses, mixing, neardup, secrets, sharding
+from tessera.llm import decontaminate, licenses, mixing, neardup, secrets, sharding, substrings
 
 
 def queries():
     return {
         "op1_license_scans": licenses.op1_license_scans,
         "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
+        "op3_suffix_array_dedup": substrings.op3_suffix_array_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_secret_scans": secrets.op7_secret_scans,
