@@ -3,7 +3,7 @@
 Rows have the key (hash of the text, doc_id), so equal texts lie side by side, yet a group of copies with a third
 of all rows still has boundaries inside. Each round counts, in one aggregation over the whole table, the bytes
 between candidate keys; only those counts (splitters x probes) reach the driver. Probes then close in on the
-candidates around each target, until the bytes below each splitter are within the tolerance. Rows move once.
+keys around each target, until the bytes below each splitter are within the tolerance. Rows move once.
 
 Law ``bytes``: the size of a row is its text's UTF-8 bytes plus 1, and shards get sizes near equal.
 
@@ -21,7 +21,7 @@ from tessera.llm.common import read, settle
 
 SHARDS = 8
 #: Allowed distance of the bytes below a splitter from its target, as a part of one shard. A splitter also ends when a
-#: single row lies between its candidates: no key does better then.
+#: single key lies between its candidates: no boundary does better then.
 TOLERANCE = 0.002
 PROBES = 16
 ROUNDS = 40
@@ -39,9 +39,9 @@ def _below(hash_: Column, id_: Column, at: tuple[int, int]) -> Column:
 
 
 def _between(low: tuple[int, int], high: tuple[int, int], n: int) -> list[tuple[int, int]]:
-    """Up to n boundaries evenly between two boundaries, on the line of 128-bit keys."""
-    a, b = ((x[0] + (1 << 63) << 64) + x[1] + (1 << 63) for x in (low, high))
-    cuts = sorted({a + (b - a) * k // (n + 1) for k in range(1, n + 1)} - {a, b})
+    """Up to n boundaries, evenly, that part the keys from ``low`` to ``high``."""
+    a, b = (((x[0] + (1 << 63)) << 64) + x[1] + (1 << 63) for x in (low, high))
+    cuts = sorted({a + 1 + (b - a - 1) * k // max(1, n - 1) for k in range(n)}) if b > a else []
     return [((c >> 64) - (1 << 63), (c & ((1 << 64) - 1)) - (1 << 63)) for c in cuts]
 
 
@@ -50,12 +50,12 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
     total, rows = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
     goals = [total * k // shards for k in range(1, shards)]
     slack = int(total / shards * tolerance)
-    # for each goal: a boundary with too few bytes below (and the rows there), one with too many, and the best so far
-    low, high = [(_LOW, 0)] * len(goals), [(_HIGH, rows)] * len(goals)
+    # for each goal: the least and the greatest key (plus 1) between which its splitter lies, and the best one so far
+    low, high = [_LOW] * len(goals), [_HIGH] * len(goals)
     best = [min((abs(c - g), b) for b, c in ((_LOW, 0), (_HIGH, total))) for g in goals]
     for _ in range(ROUNDS):
-        open_ = [k for k in range(len(goals)) if best[k][0] > slack and high[k][1] - low[k][1] > 1]
-        cuts = sorted({c for k in open_ for c in _between(low[k][0], high[k][0], probes)})
+        open_ = [k for k in range(len(goals)) if best[k][0] > slack]
+        cuts = sorted({c for k in open_ for c in _between(low[k], high[k], probes)})
         if not cuts:
             break
 
@@ -66,18 +66,29 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
             m = (a + b) // 2
             return F.when(_below(F.col("_hash"), F.col("_id"), cuts[m]), place(a, m)).otherwise(place(m + 1, b))
 
-        counted = {r["place"]: (r["n"], r["rows"]) for r in keys.groupBy(place(0, len(cuts)).alias("place")).agg(F.sum("_size").alias("n"), F.count("*").alias("rows")).collect()}
-        below, n, m = {}, 0, 0
-        for i, c in enumerate(cuts):
-            n, m = n + counted.get(i, (0, 0))[0], m + counted.get(i, (0, 0))[1]
-            below[c] = (n, m)
-        for k in open_:
-            for c, (n, m) in below.items():
-                best[k] = min(best[k], (abs(n - goals[k]), c))
-                if n <= goals[k] and c > low[k][0]:
-                    low[k] = (c, m)
-                if n >= goals[k] and c < high[k][0]:
-                    high[k] = (c, m)
+        counted = {}
+        ends = [f(c) for c in ("_hash", "_id") for f in (F.min, F.max)]
+        for spot, n, h0, h1, i0, i1 in keys.groupBy(place(0, len(cuts)).alias("place")).agg(F.sum("_size"), *ends).collect():
+            # the ids bound the keys only where all have one hash
+            counted[spot] = (n, (h0, i0 if h0 == h1 else _LOW[1]), (h1, i1 if h0 == h1 else _HIGH[1]))
+        below = 0
+        for i in range(len(cuts) + 1):
+            if i:
+                for k in open_:
+                    best[k] = min(best[k], (abs(below - goals[k]), cuts[i - 1]))
+            if i in counted:
+                n, least, most = counted[i]
+                # the keys of this place lie from the boundary below it to just under the one above it
+                if i:
+                    least = max(least, cuts[i - 1])
+                if i < len(cuts):
+                    h, j = cuts[i]
+                    most = min(most, (h, j - 1) if j > _LOW[1] else (h - 1, _HIGH[1]))
+                for k in open_:
+                    # the splitter lies among the keys of this place: bounds close in on the keys that are there
+                    if below <= goals[k] < below + n:
+                        low[k], high[k] = max(low[k], least), min(high[k], most)
+                below += n
     return [b for _, b in best], total, rows
 
 
