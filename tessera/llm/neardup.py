@@ -46,14 +46,14 @@ def depth(threshold: float = THRESHOLD, trees: int = TREES, most: int = MAX_DEPT
 
 
 def _sign(words: int, trees: int, deep: int, seed: int = 20_011):
-    """Rows (id, k1, k2, n_words, nodes) of rows (id, text)."""
+    """Rows (id, th, k1, k2, n_words, nodes) of rows (id, th, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         a = rng.integers(0, 1 << 31, trees * deep, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         b = rng.integers(0, 1 << 32, trees * deep, dtype=np.uint32)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for at, part in grams.chunks(texts):
                 w, n = grams.word_hashes(part)
                 k1, k2 = grams.sequence_keys(w, n)
@@ -73,8 +73,8 @@ def _sign(words: int, trees: int, deep: int, seed: int = 20_011):
                 where = np.concatenate([[0], np.cumsum(np.where(per > 0, trees, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(nodes.reshape(-1).view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(part)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)), lists],
-                    ["id", "k1", "k2", "n_words", "nodes"],
+                    [ids.slice(at, len(part)), hashes.slice(at, len(part)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int64)), lists],
+                    ["id", "th", "k1", "k2", "n_words", "nodes"],
                 )
 
     return run
@@ -149,19 +149,20 @@ def _roots(links: np.ndarray) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """(id, links, root) of one dealt group: whole candidate groups, or one pair of blocks of a large one."""
+    """(k1, k2, links, root) of one dealt group: whole candidate groups, or one pair of blocks of a large one."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, i, j), g in pdf.drop_duplicates(["id", "k1", "k2", "i", "j"]).groupby(["comp", "i", "j"], sort=False):
+        for (_, i, j), g in pdf.drop_duplicates(["k1", "k2", "i", "j"]).groupby(["comp", "i", "j"], sort=False):
             g = g.sort_values(["id", "k1", "k2"])
             sets = [np.frombuffer(x, dtype=np.uint64) for x in g["shingles"]]
             m = linked(sets, threshold)
             if i != j:
                 block = g["block"].to_numpy()
                 m &= block[:, None] != block[None, :]
-            out.append(pd.DataFrame({"id": g["id"], "k1": g["k1"], "k2": g["k2"], "links": m @ g["copies"].to_numpy(), "root": g["id"].to_numpy()[_roots(m)], "many": g["parts"] > 1}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "k1": [], "k2": [], "links": [], "root": [], "many": []})
+            root = _roots(m)
+            out.append(pd.DataFrame({"k1": g["k1"], "k2": g["k2"], "links": m @ g["copies"].to_numpy(), "r1": g["k1"].to_numpy()[root], "r2": g["k2"].to_numpy()[root], "many": g["parts"] > 1}))
+        return pd.concat(out)
 
     return run
 
@@ -189,10 +190,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET, block: int = BLOCK) -> DataFrame:
-    """(key, k1, k2, class_id, n_links) of every row; k1 and k2 address its sequence of words."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("text"))
+    """(key, th, k1, k2, class_id, n_links, stays) of every row. k1 and k2 address its sequence of words, th its text;
+    ``stays`` marks the first document of each group, with the copies that have its doc_id."""
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     deep = depth(threshold, trees, MAX_DEPTH, target)
-    signed = settle(rows.mapInArrow(_sign(words, trees, deep), "id bigint, k1 bigint, k2 bigint, n_words bigint, nodes array<bigint>"), "signed")
+    signed = settle(rows.mapInArrow(_sign(words, trees, deep), "id bigint, th bigint, k1 bigint, k2 bigint, n_words bigint, nodes array<bigint>"), "signed")
     classes = settle(signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("nodes").alias("nodes")), "classes")
     # nodes of the forest with more than one class, as stars to the least class; a class is named by its key
     name = F.xxhash64("k1", "k2").alias("name")
@@ -205,7 +207,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_words") * 8 / BLOCK_BYTES)).cast("int")
     sizes = members.groupBy("comp").agg(parts.alias("parts"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("k2", "k1"), F.col("parts")).cast("int"))
-    with_sets = rows.join(dealt.drop("name", "n_words"), "id").mapInArrow(_sets(words), "id bigint, comp bigint, k1 bigint, k2 bigint, copies bigint, parts int, block int, shingles binary")
+    with_sets = rows.drop("th").join(dealt.drop("name", "n_words"), "id").mapInArrow(_sets(words), "id bigint, comp bigint, k1 bigint, k2 bigint, copies bigint, parts int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = max(1, -(-members.count() // 1000))
     pairs = (
@@ -214,16 +216,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         .withColumn("j", F.greatest("block", "other"))
         .withColumn("deal", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("comp"), F.lit(spread))).otherwise(F.xxhash64("comp", "i", "j")))
     )
-    found = settle(pairs.drop("other").groupBy("deal").applyInPandas(_verify(threshold), "id bigint, k1 bigint, k2 bigint, links bigint, root bigint, many boolean"), "found")
-    links = found.groupBy("id", "k1", "k2").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.first("many").alias("many"))
+    found = settle(pairs.drop("other").groupBy("deal").applyInPandas(_verify(threshold), "k1 bigint, k2 bigint, links bigint, r1 bigint, r2 bigint, many boolean"), "found")
+    found = found.select("k1", "k2", "links", "many", name, F.xxhash64("r1", "r2").alias("root"))
     # groups dealt out in parts: their parts' components are joined; elsewhere the local root is final
-    over = components(found.where("many").select(F.col("id").alias("u"), F.col("root").alias("v")))
-    links = links.join(over.select(F.col("node").alias("id"), F.col("root").alias("over")), "id", "left").withColumn("class", F.coalesce(F.when(F.col("many"), F.col("over")), F.when(~F.col("many"), F.col("root")), F.col("id")))
-    verified = classes.select("k1", "k2", "id", "copies").join(links.select("k1", "k2", "links", "class"), ["k1", "k2"], "left")
-    verified = verified.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "id").alias("class_id"))
-    out = signed.select("id", "k1", "k2").join(verified, ["k1", "k2"])
-    real = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.select(real("id").alias(key), "k1", "k2", real("class_id").alias("class_id"), F.col("n_links").cast("long"))
+    over = components(found.where("many").select(F.col("name").alias("u"), F.col("root").alias("v")))
+    links = found.groupBy("k1", "k2", "name").agg(F.sum("links").alias("links"), F.first(F.when(~F.col("many"), F.col("root"))).alias("root"))
+    links = links.join(over.select(F.col("node").alias("name"), F.col("root").alias("over")), "name", "left").withColumn("label", F.coalesce("root", "over", "name"))
+    links = settle(links.join(classes.select("k1", "k2", "id"), ["k1", "k2"]).select("k1", "k2", "id", "links", "label"), "links")
+    first = links.groupBy("label").agg(F.min(F.struct("id", "k1", "k2")).alias("first"))
+    grouped = links.where("links > 0").join(first, "label").select("k1", "k2", "links", "first")
+    verified = classes.select("k1", "k2", "id", "copies").join(grouped, ["k1", "k2"], "left")
+    verified = verified.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("first", F.struct("id", "k1", "k2")).alias("first"))
+    out = signed.select("id", "th", "k1", "k2").join(verified, ["k1", "k2"])
+    real = lambda c: F.when(c != _NO_ID, c)
+    stays = F.struct("id", "k1", "k2") == F.col("first")
+    return out.select(real(F.col("id")).alias(key), "th", "k1", "k2", real(F.col("first")["id"]).alias("class_id"), F.col("n_links").cast("long"), stays.alias("stays"))
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stay when each group keeps its first document (least doc_id) once."""
+    found = join(docs, key, text, **how).where("stays")
+    kept = found.groupBy(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("_id"), "k1", "k2").agg(F.min("th").alias("_th")).select("_id", "_th")
+    rows = docs.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID))).withColumn("_th", F.xxhash64(text))
+    return rows.join(kept, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).drop("_id", "_th")
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):

@@ -1,6 +1,6 @@
 """Queries of the operators of this subpackage, and their SQL."""
 
-from tessera.llm import decontaminate, licenses, mixing, neardup, secrets, sharding, substrings
+from tessera.llm import chat, decontaminate, licenses, media, mixing, neardup, quality, secrets, sharding, substrings
 
 
 def queries():
@@ -8,9 +8,12 @@ def queries():
         "op1_license_scans": licenses.op1_license_scans,
         "op2_ngram_jaccard_join": neardup.op2_ngram_jaccard_join,
         "op3_suffix_array_dedup": substrings.op3_suffix_array_dedup,
+        "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_sharding": sharding.op5_sharding,
         "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
         "op7_secret_scans": secrets.op7_secret_scans,
+        "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_media_columns": media.op9_media_columns,
         "op10_mixing": mixing.op10_mixing,
     }
 
