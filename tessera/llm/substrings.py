@@ -171,8 +171,8 @@ def _anchors(parts: int, length: int, gram: int):
     return run
 
 
-def _buckets(parts: int, doc_parts: int):
-    """Kind 0: repeats, kind 1: runs whose content is wanted; both by the part of their document."""
+def _buckets(doc_parts: int):
+    """Of all runs of one task. Kind 0: repeats, kind 1: runs whose content is wanted; both by the part of their document."""
 
     def one(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = rows[np.lexsort((rows["start"], rows["id"], rows["content"], rows["bucket"]))]
@@ -192,12 +192,9 @@ def _buckets(parts: int, doc_parts: int):
         yield _packed(_blobs(want, np.mod(spark_hash(want["id"]), doc_parts)), 1)
 
     def run(batches):
-        got: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got.setdefault(p, []).append(b)
-        for p in sorted(got):
-            yield from one(np.frombuffer(b"".join(got.pop(p)), _RUN))
+        got = [b for batch in batches for b in batch.column(1).to_pylist()]
+        if got:
+            yield from one(np.frombuffer(b"".join(got), _RUN))
 
     return run
 
@@ -322,15 +319,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         real = real.select(F.col("rid").alias("id"), F.col("id").alias("real"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     volume = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = max(4 * tasks, -(-volume // PART_BYTES))
-    tasks = max(tasks, parts // 4)
+    # documents are dealt to parts by a hash; anchors to one part a task, by the number itself
+    parts = max(2 * tasks, -(-volume // PART_BYTES))
+    tasks = max(tasks, parts // 2)
 
-    anchors = rows.mapInArrow(_anchors(parts, length, gram), "part int, blob binary").repartition(tasks, "part")
-    found = settle(anchors.mapInArrow(_buckets(parts, parts), "kind int, part int, blob binary"), "buckets")
+    anchors = rows.mapInArrow(_anchors(tasks, length, gram), "part int, blob binary").repartitionById(tasks, F.col("part"))
+    found = settle(anchors.mapInArrow(_buckets(parts), "kind int, part int, blob binary"), "buckets")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(tasks, "part")
     wanted, again = (found.where(F.col("kind") == k).select("part", "blob").repartition(tasks, "part") for k in (1, 0))
-    contents = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_contents(parts, length), "part int, blob binary")
-    more = contents.repartition(tasks, "part").mapInArrow(_refined(parts, length, 2 * PART_BYTES), "part int, blob binary")
+    contents = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_contents(tasks, length), "part int, blob binary")
+    more = contents.repartitionById(tasks, F.col("part")).mapInArrow(_refined(parts, length, PART_BYTES), "part int, blob binary")
     repeats = again.unionByName(more.select("part", "blob")).repartition(tasks, "part")
     out = dealt.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(
         _cut(length, keep_text), "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
