@@ -207,7 +207,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_words") * 8 / BLOCK_BYTES)).cast("int")
     sizes = members.groupBy("comp").agg(parts.alias("parts"))
     dealt = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("k2", "k1"), F.col("parts")).cast("int"))
-    with_sets = rows.drop("th").join(dealt.drop("name", "n_words"), "id").mapInArrow(_sets(words), "id bigint, comp bigint, k1 bigint, k2 bigint, copies bigint, parts int, block int, shingles binary")
+    # members grow with the input, so this join is by a shuffle at every size
+    with_sets = rows.drop("th").join(dealt.drop("name", "n_words").hint("merge"), "id").mapInArrow(_sets(words), "id bigint, comp bigint, k1 bigint, k2 bigint, copies bigint, parts int, block int, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = max(1, -(-members.count() // 1000))
     pairs = (
