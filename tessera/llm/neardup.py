@@ -228,6 +228,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     grouped = links.where("links > 0").join(first, "label").select("k1", "k2", "links", "first")
     verified = classes.select("k1", "k2", "id", "copies").join(grouped, ["k1", "k2"], "left")
     verified = verified.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("first", F.struct("id", "k1", "k2")).alias("first"))
+    # written, so that the last join has two plain exchanges and a class with very many rows can be split
+    verified = settle(verified, "verified")
     out = signed.select("id", "th", "k1", "k2").join(verified, ["k1", "k2"])
     real = lambda c: F.when(c != _NO_ID, c)
     stays = F.struct("id", "k1", "k2") == F.col("first")
