@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import settle
+
 WEIGHTS = {"token-token": 1.0, "token-mention": 1.0, "mention-entity": 0.5, "entity-entity": 0.0}
 
 
@@ -37,12 +39,14 @@ def histogram(labels: DataFrame, edges: DataFrame, typed: bool = True) -> DataFr
         edges = edges.withColumn("etype", F.lit("edge"))
     if "weight" not in edges.columns:
         edges = edges.withColumn("weight", F.lit(1.0))
+    labels = settle(labels, "labels")
     freq = labels.groupBy("g", "round", "label").agg(F.count("*").alias("f"))
     full = labels.join(freq, ["g", "round", "label"])
     e = edges.withColumn("ct", F.count("*").over(Window.partitionBy("g", "etype")))
     e = e.join(full.select("g", F.col("n").alias("u"), "round", F.col("label").alias("a"), F.col("f").alias("fa")), ["g", "u"])
     e = e.join(full.select("g", F.col("n").alias("v"), "round", F.col("label").alias("b"), F.col("f").alias("fb")), ["g", "v", "round"])
-    return e.groupBy("g", "round", "a", "b", "etype").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.first("ct").alias("ct"))
+    # every pair of graphs reads both graphs' rows, so the histogram is written once
+    return settle(e.groupBy("g", "round", "a", "b", "etype").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.first("ct").alias("ct")), "histogram")
 
 
 def shares(hist: DataFrame, pairs: DataFrame, frequency: str = "second", per_type: bool = True, similarity: DataFrame | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.operators import kernel as K
 from tessera.operators import relational as R
 from tessera.operators import windows as X
 from tessera.plans import annotate as A
+from tessera.sources.tables import settle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -70,7 +71,9 @@ PAIRS = "pairs as (select doc_id as pair, doc_id as i, lead(doc_id) over (partit
 
 
 def _graph(spark, d):
-    return G.build_graph(A.sections(_t(spark, d, "documents")))
+    sections = settle(A.sections(_t(spark, d, "documents")), "sections")
+    nodes, edges = G.build_graph(sections)
+    return settle(nodes, "nodes"), settle(edges, "edges")
 
 
 @query("g1_fact_graph_nodes", f"with {GRAPH} select doc, ord::bigint as ord, node, kind, name, wikidata from nodes")
@@ -91,7 +94,7 @@ def g2(spark, d):
 def _simple(spark, d):
     nodes, edges = _graph(spark, d)
     s = G.simple_graph(nodes, edges)
-    return nodes.select(F.col("doc").alias("g"), F.col("ord").alias("n"), F.col("name").alias("label")), s.withColumnRenamed("doc", "g")
+    return nodes.select(F.col("doc").alias("g"), F.col("ord").alias("n"), F.col("name").alias("label")), settle(s.withColumnRenamed("doc", "g"), "simple")
 
 
 @query("g4_simple_graph", f"with {GRAPH} select doc, u::bigint as u, v::bigint as v, etype from simple")
@@ -294,7 +297,9 @@ def k13(spark, d):
 @query("k14_sweep_grid")
 def k14(spark, d):
     s = k13(spark, d).withColumn("w", F.split("vector", ","))
-    return _r(s.groupBy(F.get("w", F.lit(0)).alias("tt")).pivot("me", ["0.5", "1"]).avg("score") if "me" in s.columns else s.withColumn("me", F.get("w", F.lit(2))).groupBy(F.get("w", F.lit(0)).alias("tt")).pivot("me", ["0.5", "1"]).avg("score"), "0.5", "1")
+    s = s.select("score", F.get("w", F.lit(0)).alias("tt"), F.get("w", F.lit(2)).alias("me"))
+    g = s.groupBy("tt").pivot("me", ["0.5", "1"]).avg("score")
+    return g.select("tt", F.round(g["`0.5`"], 6).alias("me_half"), F.round(g["`1`"], 6).alias("me_one"))
 
 
 @query("k6_kernel_shortest_path")
