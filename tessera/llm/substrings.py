@@ -121,6 +121,9 @@ def equal_windows(contents: list[bytes], counts: np.ndarray, length: int = LENGT
 
     def refine(where: np.ndarray, key: np.ndarray) -> np.ndarray:
         """Names those positions anew that share a key; returns them."""
+        if not len(where):
+            name[:] = 0
+            return where
         order = np.argsort(key, kind="stable")
         same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
         shared = same | np.concatenate([same[1:], [False]])
