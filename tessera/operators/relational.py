@@ -148,12 +148,12 @@ def ordered_text(df: DataFrame, key: str, text: str, time: str, pos: str) -> Dat
     """Per key: texts by time (if any row has one, blanks last) or else by position, without blanks and repeats, joined by
     line ends; with numbers of rows, kept rows, and the mode."""
     t = T.time_key(time)
-    rows = df.select(key, F.trim(F.col(text)).alias("t"), pos, t.alias("k"))
-    mode = rows.groupBy(key).agg(F.min("k.missing").alias("blank"), F.count("*").alias("n_raw"), F.count_if(F.coalesce(F.col("t"), F.lit("")) == "").alias("n_empty"))
-    live = rows.where(F.coalesce(F.col("t"), F.lit("")) != "").join(mode.select(key, "blank"), key)
-    at = F.struct(F.when(F.col("blank") == 0, F.col("k.missing")).otherwise(0).alias("m"), F.when(F.col("blank") == 0, F.col("k.key")).otherwise("").alias("k"), F.col(pos).alias("p"))
-    first = live.groupBy(key, "t").agg(F.min(at).alias("at"))
-    joined = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), "\n").alias("source_text"), F.count("*").alias("n_kept"))
+    rows = df.select(key, F.trim(F.col(text)).alias("_t"), pos, t.alias("_k"))
+    mode = rows.groupBy(key).agg(F.min("_k.missing").alias("blank"), F.count("*").alias("n_raw"), F.count_if(F.coalesce(F.col("_t"), F.lit("")) == "").alias("n_empty"))
+    live = rows.where(F.coalesce(F.col("_t"), F.lit("")) != "").join(mode.select(key, "blank"), key)
+    at = F.struct(F.when(F.col("blank") == 0, F.col("_k.missing")).otherwise(0).alias("m"), F.when(F.col("blank") == 0, F.col("_k.key")).otherwise("").alias("k"), F.col(pos).alias("p"))
+    first = live.groupBy(key, "_t").agg(F.min(at).alias("at"))
+    joined = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "_t"))), lambda x: x["_t"]), "\n").alias("source_text"), F.count("*").alias("n_kept"))
     return mode.join(joined, key, "left").select(key, "n_raw", "n_empty", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.when(F.col("blank") == 0, "timestamp").otherwise("original_order").alias("sort_mode"), F.coalesce("source_text", F.lit("")).alias("source_text"))
 
 
