@@ -229,11 +229,12 @@ HIST = """
 hist as materialized (select e.doc as g, a.round, a.label as a, b.label as b, {etype} as etype, count(*)::double as weight, any_value(a.f)::double as fa, any_value(b.f)::double as fb, any_value(e.ct)::double as ct
   from (select *, count(*) over (partition by doc, {etype0}) as ct from simple) e join full_ a on a.doc = e.doc and a.n = e.u join full_ b on b.doc = e.doc and b.n = e.v and b.round = a.round group by all),
 allp as (select pair, i, j, 'k01' as which from pairs union all select distinct d, d, d, 'self' from (select i as d from pairs union all select j from pairs)),
-ent_ as (select which, pair, etype, sum(sqrt(ei * ej) * {fa} * {fb}) as s from (
-  select p.which, p.pair, x.etype, x.fa as xfa, x.fb as xfb, y.fa as yfa, y.fb as yfb,
+first_ as materialized (select p.which, p.pair, p.j, x.* from allp p join hist x on x.g = p.i),
+ent_ as materialized (select which, pair, etype, sum(sqrt(ei * ej) * {fa} * {fb}) as s from (
+  select x.which, x.pair, x.etype, x.fa as xfa, x.fb as xfb, y.fa as yfa, y.fb as yfb,
     case when x.a = x.b and x.fa > 1 and y.fa > 1 then 2 * x.weight / (x.fa * (x.fa - 1) * {cx}) else x.weight / (x.fa * x.fb * {cx}) end as ei,
     case when x.a = x.b and x.fa > 1 and y.fa > 1 then 2 * y.weight / (y.fa * (y.fa - 1) * {cy}) else y.weight / (y.fa * y.fb * {cy}) end as ej
-  from allp p join hist x on x.g = p.i join hist y on y.g = p.j and y.round = x.round and y.a = x.a and y.b = x.b and y.etype = x.etype) group by all)"""
+  from first_ x join hist y on y.g = x.j and y.round = x.round and y.a = x.a and y.b = x.b and y.etype = x.etype) group by all)"""
 
 
 def _hist(typed=True, minimum=False, per_type=True):
@@ -316,10 +317,13 @@ def k6(spark, d):
 @query(
     "k7_edge_embedding_sim",
     f"""with {GRAPH}, {PAIRS}, v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), m as (select count(*) as m from embeddings),
-    ed as (select s.doc, a.name as a, b.name as b, x.e as eu, y.e as ev from simple s join nodes a on a.doc = s.doc and a.ord = s.u join nodes b on b.doc = s.doc and b.ord = s.v cross join m
-      join v x on x.vec_id = substr(a.name, 3)::bigint % m.m join v y on y.vec_id = substr(b.name, 3)::bigint % m.m where s.etype = 'entity-entity')
-    select pair, count(*) as n_keys, round(sum(sim), 6) as total from (select pair, x.a, x.b, avg(greatest(list_cosine_similarity(x.eu, y.eu), 0)) * avg(greatest(list_cosine_similarity(x.ev, y.ev), 0)) as sim
-      from pairs join ed x on x.doc = i join ed y on y.doc = j and y.a = x.a and y.b = x.b group by pair, x.a, x.b) group by pair""",
+    en as materialized (select doc, ord, name, substr(name, 3)::bigint % (select m from m) as vec_id from nodes where kind = 'Entity'),
+    ve as materialized (select doc, ord, name, e from en join v using (vec_id)),
+    ed as materialized (select s.doc, a.name as a, b.name as b, a.e as eu, b.e as ev from simple s join ve a on a.doc = s.doc and a.ord = s.u join ve b on b.doc = s.doc and b.ord = s.v where s.etype = 'entity-entity'),
+    first_ as materialized (select pair, j, ed.* from pairs join ed on ed.doc = i),
+    met as materialized (select x.pair, x.a, x.b, x.eu as xu, x.ev as xv, y.eu as yu, y.ev as yv from first_ x join ed y on y.doc = x.j and y.a = x.a and y.b = x.b)
+    select pair, count(*) as n_keys, round(sum(sim), 6) as total from (select pair, a, b, avg(greatest(list_cosine_similarity(xu, yu), 0)) * avg(greatest(list_cosine_similarity(xv, yv), 0)) as sim
+      from met group by pair, a, b) group by pair""",
 )
 def k7(spark, d):
     nodes, edges = _simple(spark, d)
