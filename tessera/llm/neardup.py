@@ -186,6 +186,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still changed after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
