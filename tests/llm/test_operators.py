@@ -69,6 +69,22 @@ def test_licenses_find_a_line(docs):
     assert {k for k, v in got.items() if v} == {11} and got[11] == "mit-line"
 
 
+CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+LINES = {
+    "Licensed under CC0 1.0.": "cc0-1.0-short", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication.": "cc0-1.0-line",
+    # the other licence lines of the documents table
+    "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-line", "All rights reserved.": "all-rights-reserved", "Released under the MIT License.": "mit-line", "Licensed under the Apache License, Version 2.0.": "apache-2.0-line",
+}
+for _k, _v in CC.items():
+    LINES |= {f"Licensed under CC {_k} 4.0.": f"cc-{_k.lower()}-4.0-short", f"This work is licensed under a Creative Commons {_v} 4.0 International License.": f"cc-{_k.lower()}-4.0-line"}
+
+
+def test_licenses_report_every_line(spark):
+    d = spark.createDataFrame([(i, words(30, i) + "\n" + t + "\n" + words(30, i + 1), t) for i, t in enumerate(LINES)], "doc_id bigint, text string, line string")
+    got = {r["line"]: [x["name"] for x in r["licenses"]] for r in licenses.scan(d).collect()}
+    assert got == {t: [name] for t, name in LINES.items()}
+
+
 def test_neardup_links(docs):
     sets = []
     for _, t in TEXTS:
