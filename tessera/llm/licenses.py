@@ -1,11 +1,20 @@
 """License scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Units of a text are the whole text, its blocks (parted by blank lines) and its lines. Normalising lower-cases A-Z
+Units of a text are the whole text, its blocks (parted by blank lines), its lines, and its runs of words. Normalising lower-cases A-Z
 and turns every run of other characters than [a-z0-9] into a space. A unit and a template are sets of word bigrams A
 and B with Dice 2|A & B| / (|A| + |B|). A template can only reach the threshold t if |A| lies between |B| t / (2 - t)
 and |B| (2 - t) / t: units outside every template's bounds are dropped before bigrams are made (a unit of w words has
 w - 1 bigrams at most), and each unit is compared only with templates within its bounds.
 
+Runs are windows over the words of the whole text, so a notice is found over several paragraphs, in wrapped lines and inside
+a line. The best window of a template begins and ends with bigrams of it, as others at its ends only lower its Dice: from each
+such bigram that has enough of the template's behind it, every window that ends in one, up to the longest, is compared. Of windows
+that overlap the one that shares most bigrams with its template stands, so a notice is not also reported as a shorter or similar one
+in it. A run is a hit if its template is none of the other units'; each template has one, its best. ``n_units`` does not count runs.
+
+A unit or run that reaches the threshold shares at least ``need`` bigrams with its template, hence at least one with a word
+of ``anchors``: texts without any such word are not compared with templates.
+
 Only DataFrame functions are used, on each row alone: nothing is shuffled, so hot keys do not exist, and a lost
 executor's rows are simply read again. The templates are a constant of fixed size in the plan.
 
@@ -17,7 +26,8 @@ give equal rows; an empty table gives an empty result; columns named like the re
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,12 +67,18 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Words that are taken last as anchors; which ones changes no result.
+_COMMON = frozenset("a an and any as at by be for from in is it no not of on or that the this to under with you".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def words_of(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(_UPPER, _LOWER))).strip().split(" ")
+
+
 def grams_of(text: str) -> list[str]:
     """The distinct word bigrams of a template."""
-    words = re.sub("[^a-z0-9]+", " ", text.translate(str.maketrans(_UPPER, _LOWER))).strip().split(" ")
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -72,6 +88,32 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return (sizes[0], sizes[-1]) if sizes else (1, 0)
 
 
+def need(n: int, threshold: float) -> int:
+    """Least number of bigrams shared by a template of n and a unit that reaches the threshold."""
+    lo, hi = bounds(n, threshold)
+    return min((k for a in range(lo, hi + 1) for k in range(1, min(a, n) + 1) if 2 * k / (a + n) >= threshold), default=n + 1)
+
+
+def anchors(templates: list[list[str]], threshold: float) -> list[str]:
+    """Words such that every unit that reaches the threshold with a template (its bigrams) has one of them. Any choice that
+    leaves fewer than ``need`` bigrams without such a word will do; long words are taken first, as they are rarer."""
+    out: set[str] = set()
+    for g in templates:
+        rest = [b.split(" ") for b in g]
+        for word in sorted({w for b in rest for w in b}, key=lambda w: (w in _COMMON, -len(w), w)):
+            rest = [b for b in rest if not out.intersection(b)]
+            if len(rest) < need(len(g), threshold):
+                break
+            if any(word in b for b in rest):
+                out.add(word)
+    return sorted(out)
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def units(text: Column) -> Column:
     """Distinct normalised units: whole text, blocks, lines."""
     plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[^a-z0-9\n]+", " ")
@@ -81,10 +123,62 @@ def units(text: Column) -> Column:
     return F.array_distinct(F.concat(tidy(F.array(plain)), tidy(blocks), F.transform(lines, lambda x: F.trim(x))))
 
 
+def runs(text: Column, known: list[tuple[str, list[str], int]], threshold: float) -> Column:
+    """Array of struct(dice, rank, name, n): the best run of each template of ``known`` (name, bigrams, repeats of bigrams in
+    it) among those that stand."""
+    every = sorted({b for _, g, _ in known for b in g})
+    i32 = lambda x: F.lit(x).cast("int")
+
+    def window(v: Column, start: Column, g: list[str], name: str, rank: int) -> Column:
+        """The best window that begins at ``start``, whose bigrams from there on are ``v``."""
+
+        def step(acc: Column, x: Column) -> Column:
+            both = F.struct((acc["n"] + 1).alias("n"), (acc["a"] + x["new"]).alias("a"), (acc["k"] + x["new"] * x["own"]).alias("k"))
+            return let(both, lambda b: let(2.0 * b["k"] / (b["a"] + len(g)), lambda dice: let((x["own"] == 1) & (dice > acc["dice"]), lambda better: F.struct(
+                b["n"].alias("n"), b["a"].alias("a"), b["k"].alias("k"), F.when(better, dice).otherwise(acc["dice"]).alias("dice"),
+                F.when(better, b["n"]).otherwise(acc["len"]).alias("len"), F.when(better, b["k"]).otherwise(acc["shared"]).alias("shared"), F.when(better, b["a"]).otherwise(acc["size"]).alias("size")))))
+
+        marks = F.transform(v, lambda x, i: F.struct((F.array_position(v, x) == i + 1).cast("int").alias("new"), x.isin(*g).cast("int").alias("own")))
+        zero = F.struct(*[i32(0).alias(c) for c in ("n", "a", "k")], F.lit(0.0).alias("dice"), *[i32(0).alias(c) for c in ("len", "shared", "size")])
+        return F.aggregate(marks, zero, step, lambda b: F.struct(b["shared"].alias("shared"), b["dice"].alias("dice"), i32(-rank).alias("rank"), F.lit(name).alias("name"), b["size"].alias("n"), start.alias("start"), (start + b["len"] - 1).alias("end")))
+
+    def windows(grams: Column, places: Column, rank: int, name: str, g: list[str], repeats: int) -> Column:
+        least, longest = need(len(g), threshold), bounds(len(g), threshold)[1] + repeats
+        own = F.transform(F.filter(places, lambda p: p["g"].isin(*g)), lambda p: p["i"])
+
+        def found(q: Column) -> Column:
+            at = F.filter(F.sequence(i32(1), F.size(q) - (least - 1)), lambda j: F.element_at(q, j + (least - 1)) - F.element_at(q, j) < longest)
+            each = F.transform(at, lambda j: let(F.element_at(q, j), lambda start: let(F.slice(grams, start + 1, i32(longest)), lambda v: window(v, start, g, name, rank))))
+            return F.when(F.size(q) >= least, F.filter(each, lambda w: w["dice"] >= threshold))
+
+        return F.coalesce(let(own, found), F.array().cast(kind))
+
+    kind = "array<struct<shared:int,dice:double,rank:int,name:string,n:int,start:int,end:int>>"
+    words = F.split(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
+
+    def standing(all_: Column) -> Column:
+        """Of windows that overlap the one that shares most bigrams (then: of greatest Dice, first by name, first in the text)."""
+        order = F.transform(all_, lambda w: F.struct((-w["shared"]).alias("a"), (-w["dice"]).alias("b"), (-w["rank"]).alias("c"), w["start"].alias("d"), w.alias("w")))
+        apart = lambda kept, w: F.when(F.exists(kept, lambda k: (k["start"] <= w["end"]) & (w["start"] <= k["end"])), kept).otherwise(F.concat(kept, F.array(w)))
+        return F.aggregate(F.transform(F.array_sort(order), lambda x: x["w"]), F.array().cast(kind), apart)
+
+    def best(kept: Column) -> Column:
+        first = F.filter(kept, lambda w: ~F.exists(kept, lambda k: (k["name"] == w["name"]) & ((k["dice"] > w["dice"]) | ((k["dice"] == w["dice"]) & (k["start"] < w["start"])))))
+        return F.transform(first, lambda w: F.struct(*[w[c].alias(c) for c in ("dice", "rank", "name", "n")]))
+
+    def of_words(w: Column) -> Column:
+        grams = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+        places = lambda g: F.filter(F.transform(g, lambda x, i: F.struct(i.alias("i"), x.alias("g"))), lambda p: p["g"].isin(*every))
+        return let(grams, lambda g: let(places(g), lambda p: let(F.concat(*[windows(g, p, i, *t) for i, t in enumerate(known)]), lambda all_: let(standing(all_), best))))
+
+    return let(words, of_words)
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``licenses`` (array of struct(name, dice, words): the units that match, by their
     best template, in order), ``n_units`` (units within some template's bounds), ``best_license`` and ``best_dice``."""
     known = sorted((name, grams_of(t)) for name, t in templates.items())
+    long = [(name, g, len(words_of(templates[name])) - 1 - len(g)) for name, g in known if g]
     known = [(name, g, *bounds(len(g), threshold)) for name, g in known if g]
     least = min((lo for _, _, lo, _ in known), default=1)
     most = max((hi for _, _, _, hi in known), default=0)
@@ -106,7 +200,13 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     long_enough = F.filter(units(F.col(text)), lambda u: (F.length(u) >= 2 * least + 1) & (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= least))
     sets = F.filter(F.transform(long_enough, grams), lambda g: F.size(g).between(least, most))
     sets = F.filter(sets, lambda g: F.exists(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for _, _, lo, hi in known]), lambda b: (F.size(g) >= b["lo"]) & (F.size(g) <= b["hi"])))
-    hits = F.filter(F.transform("_sets", best), lambda b: b["dice"] >= threshold)
+    # the anchors as substrings first, which is cheap, then as words
+    some = anchors([g for _, g, _, _ in known], threshold)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    able = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in some], F.lit(False)) & F.coalesce(F.col(text), F.lit("")).rlike("(?i)(?<![0-9a-z])(?:" + "|".join(some) + ")(?![0-9a-z])")
+    whole = F.filter(F.transform("_sets", best), lambda b: b["dice"] >= threshold)
+    more = lambda u: F.concat(u, F.filter(runs(F.col(text), long, threshold), lambda r: ~F.exists(u, lambda x: x["name"] == r["name"])))
+    hits = F.when(able, let(whole, more)).otherwise(F.array().cast("array<struct<dice:double,rank:int,name:string,n:int>>"))
     out = docs.withColumn("_sets", sets).withColumn("n_units", F.size("_sets").cast("long")).withColumn("_hits", hits)
     top = F.array_max("_hits")
     return (

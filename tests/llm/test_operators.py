@@ -85,6 +85,27 @@ def test_licenses_report_every_line(spark):
     assert got == {t: [name] for t, name in LINES.items()}
 
 
+def test_licenses_are_found_wherever_they_stand(spark):
+    mit = licenses.TEMPLATES["mit"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    wrapped = licenses.TEMPLATES["mpl-2.0-notice"].replace("Public License", "Public\n# License").replace("file, You", "file,\n# You")
+    sa = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    rows = {
+        1: (f"{words(300, 1)}\n\nCopyright (c) 2001 A\n\n{mit}\n\n{words(300, 2)}", ["mit"]), 2: (f"{words(40, 3)}\n# {wrapped}\n{words(40, 4)}", ["mpl-2.0-notice"]),
+        3: (f"{words(20, 5)}. Released under the MIT License. More {words(20, 6)}", ["mit-line"]), 4: (f"{words(20, 7)} {sa} {words(20, 8)}", ["cc-by-sa-4.0-line"]),
+        5: (f"{words(9, 9)} {licenses.TEMPLATES['apache-2.0-header']} {words(90, 9)} {licenses.TEMPLATES['mit']} {words(9, 8)}", ["apache-2.0-header", "mit"]),
+        6: (f"{words(20, 5)} the licensed software was released under no permission {words(20, 6)}", []), 7: (f"{words(9, 5)} Licensed under CC BY-NC-SA 4.0. {words(9, 6)}", ["cc-by-nc-sa-4.0-short"]),
+    }
+    got = licenses.scan(spark.createDataFrame([(k, t) for k, (t, _) in rows.items()], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: sorted(x["name"] for x in r["licenses"]) for r in got} == {k: names for k, (_, names) in rows.items()}
+    assert all(r["best_dice"] == pytest.approx(1.0) for r in got if r["licenses"])
+
+
+def test_license_anchors_leave_no_template_out():
+    every = [licenses.grams_of(t) for t in licenses.TEMPLATES.values()]
+    some = set(licenses.anchors(every, licenses.THRESHOLD))
+    assert all(sum(not some.intersection(b.split(" ")) for b in g) < licenses.need(len(g), licenses.THRESHOLD) for g in every)
+
+
 def test_neardup_links(docs):
     sets = []
     for _, t in TEXTS:
