@@ -118,9 +118,8 @@ def units(text: Column) -> Column:
     """Distinct normalised units: whole text, blocks, lines."""
     plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[^a-z0-9\n]+", " ")
     tidy = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, r"[ \n]+", " ")))
-    lines = F.split(plain, r"\n")
-    blocks = F.split(plain, r"\n(?: ?\n)+")
-    return F.array_distinct(F.concat(tidy(F.array(plain)), tidy(blocks), F.transform(lines, lambda x: F.trim(x))))
+    # computed once, not for each kind of unit
+    return let(plain, lambda p: F.array_distinct(F.concat(tidy(F.array(p)), tidy(F.split(p, r"\n(?: ?\n)+")), F.transform(F.split(p, r"\n"), lambda x: F.trim(x)))))
 
 
 def runs(text: Column, known: list[tuple[str, list[str], int]], threshold: float) -> Column:
