@@ -8,7 +8,8 @@ Calls and results are hash-joined by (conversation, id); of several with one id
 others are marked. Topological order: an event comes after what it needs (a result needs its call, a call the results
 it refers to). ``level`` is the longest way from an event that needs nothing, ``due`` the greatest turn on such ways, so that
 order by (due, level, turn, place) keeps the dialogue's order wherever needs allow. Levels are found by rounds of joins
-over the calls with references alone. Positions come from counts of blocks of turns, so that even a
+over the calls with references alone, until a round finds none; chains of calls with one reference each are shortened by
+doubling first. Positions come from counts of blocks of turns, so that even a
 conversation with a third of all messages is numbered in many tasks.
 
 Defined results: a null conversation is a conversation of its own; a null turn comes first, as turn -1; a null role is
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -159,7 +161,34 @@ def _parse(tools: Mapping[str, Mapping]):
     return run
 
 
-def link(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", rounds: int = 1000) -> DataFrame:
+def _shortened(needs: DataFrame, timed: DataFrame) -> DataFrame:
+    """(conv, call_id, need, steps, mid): the needs, where a call with one need has instead the first call on its way that has
+    none or several, ``steps`` references away, with ``mid``, the greatest turn of the calls between and their results.
+
+    Ways double in every round, so a chain of n calls takes log2(n). A way of more steps than there are calls runs in a
+    cycle: its call keeps its own need, which is never met.
+    """
+    one = needs.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.min("need").alias("to"))
+    own = timed.select("conv", "call_id", F.greatest("turn", "answered").alias("own"))
+    single = one.where("n = 1").join(own, ["conv", "call_id"]).select("conv", "call_id", "to", F.lit(1).cast("long").alias("steps"), F.lit(None).cast("long").alias("mid"), "own")
+    single, most = settle(single, "single"), timed.count()
+    moving, ended = single, []
+    jump = single
+    while True:
+        far = jump.select("conv", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("s2"), F.col("mid").alias("m2"), F.col("own").alias("o2"))
+        both = settle(moving.join(far, ["conv", "to"], "left"), "jump")
+        ended.append(both.where("to2 is null").select("conv", "call_id", "to", "steps", "mid", "own"))
+        moving = both.where("to2 is not null").select("conv", "call_id", F.col("to2").alias("to"), (F.col("steps") + F.col("s2")).alias("steps"), F.greatest("mid", "o2", "m2").alias("mid"), "own")
+        moving = moving.where(F.col("steps") <= most)
+        if not moving.limit(1).count():
+            break
+        jump = reduce(DataFrame.union, ended, moving)
+    short = settle(reduce(DataFrame.union, ended).select("conv", "call_id", F.col("to").alias("need"), "steps", "mid"), "short")
+    rest = needs.join(short.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+    return short.unionByName(rest.select("conv", "call_id", "need", F.lit(1).cast("long").alias("steps"), F.lit(None).cast("long").alias("mid")))
+
+
+def link(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Events (conv, turn, role, place, kind, call_id, status, problem, due, level, position, json).
 
     status: text, linked, no_result, orphan, duplicate, no_id, cycle. ``conv`` is text, null for null.
@@ -187,11 +216,12 @@ def link(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str =
     done = done.withColumn("ready", F.greatest("due", "answered"))
     if needs.limit(1).count():
         done = settle(done, "done")
-        for _ in range(rounds):
+        needs = settle(_shortened(needs, timed), "ways")
+        while True:  # each pass finds the level of one more call at least
             at = done.select("conv", F.col("call_id").alias("need"), F.col("level").alias("l"), F.col("ready").alias("d"))
-            met = needs.join(at, ["conv", "need"], "left").groupBy("conv", "call_id").agg(F.max("l").alias("l"), F.max("d").alias("d"), F.count_if(F.col("l").isNull()).alias("missing"))
+            met = needs.join(at, ["conv", "need"], "left").groupBy("conv", "call_id").agg(F.max(F.col("l") + 2 * F.col("steps")).alias("l"), F.max(F.greatest("d", "mid")).alias("d"), F.count_if(F.col("l").isNull()).alias("missing"))
             fresh = met.where("missing = 0").join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti").join(timed, ["conv", "call_id"])
-            fresh = fresh.select("conv", "call_id", "turn", "answered", (F.col("l") + 2).alias("level"), F.greatest("turn", "d").alias("due")).withColumn("ready", F.greatest("due", "answered"))
+            fresh = fresh.select("conv", "call_id", "turn", "answered", F.col("l").cast("int").alias("level"), F.greatest("turn", "d").alias("due")).withColumn("ready", F.greatest("due", "answered"))
             fresh = settle(fresh, "fresh")
             if not fresh.limit(1).count():
                 break

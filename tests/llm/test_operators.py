@@ -243,3 +243,34 @@ def test_chat_links_orders_and_validates(spark):
     assert [(r["call_id"], r["status"], r["problem"]) for r in got if r["conv"] == "2"] == [("x", "no_result", "unknown tool"), ("y", "cycle", None), ("z", "cycle", None)]
     assert next(r["json"] for r in got if r["call_id"] == "a" and r["kind"] == "result") == '{"content":{"a":2,"z":1},"role":"tool","tool_call_id":"a"}'
     assert chat.link(d.limit(0)).count() == 0
+
+
+def _call(i, refs):
+    args = ",".join(f'"k{k}":{{"$ref":"{r}"}}' for k, r in enumerate(refs))
+    return f'{{"tool_calls":[{{"id":"{i}","name":"fetch","arguments":{{{args}}}}}]}}'
+
+
+def test_chat_levels_of_chains_of_any_length(spark):
+    n = 1_100
+    rows = [(1, k, "assistant", _call(k, [k - 1] if k else [])) for k in range(n)] + [(1, n, "assistant", _call(n, [n - 1, 3])), (1, n + 1, "assistant", _call("p", ["q"])), (1, n + 2, "assistant", _call("q", ["p"])), (1, n + 3, "assistant", _call("r", ["q"]))]
+    got = {r["call_id"]: (r["status"], r["level"]) for r in chat.link(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()}
+    assert got == {str(k): ("no_result", 2 * k) for k in range(n + 1)} | {k: ("cycle", None) for k in "pqr"}
+
+
+def test_chat_levels_match_brute_force(spark):
+    r = random.Random(4)
+    refs = {k: r.sample([j for j in range(40) if j < k or r.random() < 0.02], r.choice([0, 1, 1, 1, 2]) if k > 2 else 0) for k in range(40)}
+    turn = {k: r.randrange(100) for k in refs}
+    answered = {k: r.randrange(100) for k in refs if k % 3}
+    rows = [(1, turn[k], "assistant", _call(k, v)) for k, v in refs.items()] + [(1, t, "tool", f'{{"tool_call_id":"{k}","content":1}}') for k, t in answered.items()]
+    want = {}
+    for _ in refs:
+        for k, v in refs.items():
+            need = [x for x in v if x != k]
+            if all(x in want for x in need):
+                level = max([want[x][0] + 2 for x in need], default=0)
+                due = max([turn[k]] + [want[x][2] for x in need])
+                want[k] = (level, due, max(due, answered.get(k, turn[k])))
+    got = chat.link(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).where("kind = 'call'").collect()
+    assert {int(x["call_id"]): (x["level"], x["due"]) for x in got if x["status"] != "cycle"} == {k: v[:2] for k, v in want.items()}
+    assert len(got) == 40
