@@ -117,11 +117,11 @@ def drop_entities(nodes: DataFrame, edges: DataFrame, ratio: float, seed: int =
     return nodes.join(ends, ["doc", "node"], "left_anti"), kept, ledger
 
 
-def shortest_paths(simple: DataFrame, far: int, loops: float | None = None) -> DataFrame:
+def shortest_paths(simple: DataFrame, far: int, loops: float | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """Simple edges with ``weight``, plus type shortest-path edges of weight 1 / distance between nodes at distance 2..far.
 
     Distances come from ``far`` - 1 rounds of a self-join, each keeping only pairs that are new.
-    ``loops``: weight of self-loops to add where missing.
+    ``loops``: weight of self-loops to add where missing, for nodes(doc, u) or else the nodes with an edge.
     """
     both = simple.where("u <> v").select("doc", F.col("u").alias("a"), F.col("v").alias("b"))
     both = both.unionByName(both.select("doc", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -134,7 +134,7 @@ def shortest_paths(simple: DataFrame, far: int, loops: float | None = None) -> D
     new = seen.where("dist > 1 and a < b").select("doc", F.col("a").alias("u"), F.col("b").alias("v"), F.lit("shortest-path").alias("etype"), (1.0 / F.col("dist")).alias("weight"))
     out = simple.select("doc", "u", "v", "etype", F.lit(1.0).alias("weight")).unionByName(new)
     if loops is not None:
-        ids = simple.select("doc", F.explode(F.array("u", "v")).alias("u")).distinct()
+        ids = nodes if nodes is not None else simple.select("doc", F.explode(F.array("u", "v")).alias("u")).distinct()
         missing = ids.join(simple.where("u = v").select("doc", "u"), ["doc", "u"], "left_anti")
         out = out.unionByName(missing.select("doc", "u", F.col("u").alias("v"), F.lit("shortest-path").alias("etype"), F.lit(float(loops)).alias("weight")))
     return out

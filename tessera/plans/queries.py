@@ -97,6 +97,11 @@ def _simple(spark, d):
     return nodes.select(F.col("doc").alias("g"), F.col("ord").alias("n"), F.col("name").alias("label")), settle(s.withColumnRenamed("doc", "g"), "simple")
 
 
+def _far(nodes, edges):
+    """Edges of all types, with shortest-path edges up to distance 3 and every missing self-loop."""
+    return G.shortest_paths(edges.withColumnRenamed("g", "doc"), 3, 1.0, nodes.select(F.col("g").alias("doc"), F.col("n").alias("u")))
+
+
 @query("g4_simple_graph", f"with {GRAPH} select doc, u::bigint as u, v::bigint as v, etype from simple")
 def g4(spark, d):
     return _long(_simple(spark, d)[1].withColumnRenamed("g", "doc"), "u", "v")
@@ -153,8 +158,7 @@ def g8(spark, d):
     select doc, count(*) as n, sum(a)::bigint as su, sum(b)::bigint as sv from two group by doc""",
 )
 def g9(spark, d):
-    s = _simple(spark, d)[1].withColumnRenamed("g", "doc").where("etype = 'entity-entity'")
-    p = G.shortest_paths(s, 2).where("etype = 'shortest-path'")
+    p = _far(*_simple(spark, d)).where("etype = 'shortest-path'")
     return p.groupBy("doc").agg(F.count("*").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"))
 
 
@@ -306,10 +310,8 @@ def k14(spark, d):
 @query("k6_kernel_shortest_path")
 def k6(spark, d):
     nodes, edges = _simple(spark, d)
-    e = G.shortest_paths(edges.withColumnRenamed("g", "doc").where("etype in ('mention-entity', 'entity-entity')"), 2).withColumnRenamed("doc", "g")
-    ids = e.select("g", F.explode(F.array("u", "v")).alias("n")).distinct()
-    n = nodes.join(ids, ["g", "n"], "left_semi")
-    hist = K.histogram(K.wl_labels(n, e, 1), e)
+    e = settle(_far(nodes, edges).withColumnRenamed("doc", "g"), "far")
+    hist = K.histogram(K.wl_labels(nodes, e, 1), e)
     parts = K.entries(hist, A.neighbours(_t(spark, d, "documents")))
     return _r(K.weigh(parts, K.weight_table(spark, {**K.WEIGHTS, "shortest-path": 0.1})), "score")
 
