@@ -2,12 +2,12 @@
 
 A token is a run of letters and digits or a run of other signs. Every vocabulary entry (tokens are hashed to BUCKETS
 entries) has a sparse ternary index vector. The word vector of an entry is the sum of the index vectors of its neighbours
-over the training sample, centred and set to unit length, plus its own index vector. Word shapes and a mark for a word that
+over all documents, centred and set to unit length, plus its own index vector. Word shapes and a mark for a word that
 repeats the one before it are entries too. A document is the mean of its entries' vectors; a network with one hidden layer
 gives a logit, which a temperature fitted on a part of the sample turns into a probability.
 
 The classifier is fitted on a bounded sample: at most SAMPLE labelled documents, those least by a hash of doc_id, of the rows
-outside the held-out fold (crc32 of doc_id as text, modulo 5, is 0). Label, language, source and doc_id are no inputs. Sums
+outside the held-out fold (crc32 of doc_id as text, modulo 5, is 0). Word vectors need no label and are made from every row. Label, language, source and doc_id are no inputs. Sums
 of index vectors are whole numbers, so the model does not depend on the order of tasks. The model (BUCKETS x DIM floats)
 has a fixed size. Scoring is a pass over the rows without a shuffle.
 
@@ -32,6 +32,7 @@ from tessera.llm.common import read, settle
 
 BUCKETS, DIM, ONES, REACH = 1 << 14, 32, 6, 2
 SAMPLE = 6_000
+FAN = 8
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
 CUT = 0.3
 SHAPES = 9
@@ -82,16 +83,47 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: the sums of the neighbours' index vectors over this task's texts."""
     index, entries = index_vectors()[:BUCKETS].astype(np.float64), Entries()
     total = np.zeros((BUCKETS, DIM))
+    held, size = [], 0
+
+    def add() -> None:
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        word = pair // BUCKETS
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        total[word[first]] += np.add.reduceat(index[pair % BUCKETS] * n[:, None], first, axis=0)
+
     for batch in batches:
         for text in batch.column("text").to_pylist():
             e, _ = entries.of(text)
             for k in range(1, REACH + 1):
                 if len(e) > k:
-                    pair, n = np.unique(np.concatenate([e[:-k] * BUCKETS + e[k:], e[k:] * BUCKETS + e[:-k]]), return_counts=True)
-                    np.add.at(total, pair // BUCKETS, index[pair % BUCKETS] * n[:, None])
+                    held += [e[:-k] * BUCKETS + e[k:], e[k:] * BUCKETS + e[:-k]]
+                    size += 2 * (len(e) - k)
+            if size > 1 << 20:
+                add()
+                held, size = [], 0
+    if held:
+        add()
     yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["sums"])
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: the sum of this task's rows of sums."""
+    total = np.zeros(BUCKETS * DIM, dtype=np.int64)
+    for batch in batches:
+        for x in batch.column("sums"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def contexts(texts: DataFrame) -> np.ndarray:
+    """The sums over all rows of texts(text). Tasks' sums (BUCKETS x DIM numbers each) are added in up to FAN tasks before the driver adds those."""
+    parts = settle(texts.mapInArrow(_contexts, "sums binary"), "sums").coalesce(FAN).mapInArrow(_added, "sums binary")
+    total = np.zeros((BUCKETS, DIM), dtype=np.int64)
+    for r in parts.toLocalIterator():
+        total += np.frombuffer(r["sums"], dtype=np.int64).reshape(BUCKETS, DIM)
+    return total
+
+
 def word_vectors(sums: np.ndarray) -> np.ndarray:
     index = index_vectors().astype(np.float64)
     c = sums.astype(np.float64)
@@ -169,8 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # at most ``sample`` rows, so they may be broadcast
     chosen = settle(votes.orderBy(F.xxhash64(key), key).limit(sample), "chosen")
     rows = settle(docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).dropDuplicates([key]).repartition(4, key), "sample")
-    sums = [np.frombuffer(r["sums"], dtype=np.int64).reshape(BUCKETS, DIM) for r in rows.mapInArrow(_contexts, "sums binary").toLocalIterator()]
-    vectors = word_vectors(sum(sums, np.zeros((BUCKETS, DIM), dtype=np.int64)))
+    vectors = word_vectors(contexts(docs.select(F.col(text).alias("text"))))
 
     def pool(batches):
         entries = Entries()

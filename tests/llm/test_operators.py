@@ -274,3 +274,16 @@ def test_chat_levels_match_brute_force(spark):
     got = chat.link(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).where("kind = 'call'").collect()
     assert {int(x["call_id"]): (x["level"], x["due"]) for x in got if x["status"] != "cycle"} == {k: v[:2] for k, v in want.items()}
     assert len(got) == 40
+
+
+def test_word_vectors_are_made_from_all_documents(spark):
+    texts = [words(50, k) for k in range(8)] + ["unlabelled zebra unlabelled"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    index, want = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM), dtype=np.int64)
+    for t in texts:
+        e, _ = quality.Entries().of(t)
+        for i, j in ((i, j) for i in range(len(e)) for j in range(len(e)) if 0 < abs(i - j) <= quality.REACH):
+            want[e[i]] += index[e[j]]
+    assert (quality.contexts(d.select("text")) == want).all()
+    model = quality.fit(d, spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id bigint, quality int"), sample=4)
+    assert np.array_equal(model.vectors, quality.word_vectors(want))
