@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash LSH banding, then exact verification.
 
-Texts are sets of word shingles (five words). Equal word sequences form one class first. Each class has TREES MinHash
-sequences; a tree is the trie of the sorted sequences, and a node of depth k holds the classes that share a prefix of k.
-From MAX_DEPTH on the prefix is shortened until a pair exactly at the threshold shares a node in some tree with the
-target recall: 1 - (1 - s^k)^TREES >= TARGET. All classes of a node become candidates without making its pairs: a node
+Texts are sets of word shingles (five words). Equal word sequences form one class first. Each class has TREES bands of
+MinHashes; a node holds the classes that share a band. No sequences are sorted and no prefix is shortened at run time, as an
+LSH forest would: the length k of all bands is fixed beforehand, the longest up to MAX_DEPTH with which a pair exactly at the
+threshold shares a band with the target recall: 1 - (1 - s^k)^TREES >= TARGET. All classes of a node become candidates without making its pairs: a node
 is a star to its least class, the stars' connected components are candidate groups, and each group is verified exactly
 with the true shingle sets. A group of more than BLOCK classes is dealt out as pairs of blocks, so no task holds more
 than two blocks; links are counted, not listed.
