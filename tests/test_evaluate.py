@@ -51,3 +51,13 @@ def test_matching_is_one_to_one(spark):
     got = R.greedy_match(d, d.withColumnRenamed("i", "j"), "uid").collect()
     assert sorted((r["i"], r["j"]) for r in got) == [(0, 1), (1, 0)]
     assert F is not None
+
+
+def test_bootstrap_queries_take_all_replicates(spark, monkeypatch):
+    from tessera.plans import queries as Q
+
+    d = spark.createDataFrame([(f"s{k % 5}", f"e{k}", float(k % 7), float(k * k % 11)) for k in range(40)], "system string, event string, x double, y double")
+    monkeypatch.setattr(Q, "_scores", lambda *_: d)
+    for q in (Q.a14, Q.a15):
+        r = q(spark, "").first()
+        assert r["estimates"] + r["skipped"] == 10_000
