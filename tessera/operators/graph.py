@@ -6,10 +6,16 @@ that a number and an equal text differ. edges(doc, ord, src, dst, rel, etype). `
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import arrays as A
 
 EDGE_TYPES = ("token-token", "token-mention", "mention-entity", "entity-entity")
 
@@ -31,41 +37,139 @@ def edge_type(src: Column, dst: Column) -> Column:
     return F.when(mixed("token", "mention"), "token-mention").when(mixed("mention", "entity"), "mention-entity").otherwise(F.concat(a, F.lit("-"), b))
 
 
-def _node(prefix: str, x: Column) -> Column:
-    return F.concat(F.lit(prefix), x.cast("string"))
-
-
-def build_graph(sections: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of sections(doc, parse_trees, mentions, vertexSet, ent_relation).
+#: One graph a row. ``nodes`` stand in the order of insertion (their ``ord`` is the place from 1), ``a`` and ``b`` are the ends' ords.
+FACTS = (
+    "nodes array<struct<kind:int,id:bigint,name:string,wikidata:string>>, "
+    "edges array<struct<src_kind:int,src_id:bigint,dst_kind:int,dst_id:bigint,rel:string,a:int,b:int>>"
+)
+KINDS = ("Token", "Mention", "Entity")
+
+
+def _facts(batch: pa.RecordBatch, doc: str) -> pa.RecordBatch:
+    rows = len(batch)
+    field = lambda x, k: x.field(x.type.get_field_index(k))
+    text = lambda prefix, x: pc.binary_join_element_wise(prefix, pc.fill_null(pc.cast(x, pa.string()), ""), "")
+
+    arcs, arow, apos = A.spread(batch.column("parse_trees"))
+    (h, h_ok), (t, t_ok) = A.whole(field(arcs, "h_idx")), A.whole(field(arcs, "t_idx"))
+    both = lambda x, y: np.stack([x, y], 1).reshape(-1)
+    use = np.flatnonzero(both(h_ok, t_ok))
+    end_row, end_id = both(arow, arow)[use], both(h, t)[use]
+    tokens = A.Ids(end_row, end_id)
+    spot = use[tokens.at]
+    names = pa.concat_arrays([field(arcs, "head"), field(arcs, "child")]).take(pa.array(spot // 2 + (spot % 2) * len(arcs)))
+    t_row, t_id, t_name = end_row[tokens.at], end_id[tokens.at], text("s:", names)
+
+    men, mrow, mpos = A.spread(batch.column("mentions"))
+    mid, m_ok = A.whole(field(men, "mention_id"))
+    use = np.flatnonzero(m_ok)
+    mentions = A.Ids(mrow[use], mid[use])
+    spot = use[mentions.at]
+    m_row, m_id, m_name = mrow[spot], mid[spot], text("s:", field(men, "name").take(pa.array(spot)))
+
+    ent, e_row, epos = A.spread(batch.column("vertexSet"))
+    inner, of, place = A.spread(ent)
+    size = A.lengths(ent)
+    first = pa.array(A.first_of(size), mask=size == 0)
+    e_name, wiki = text("i:", field(inner, "wikipedia_id").take(first)), field(inner, "wikidata_id").take(first)
+
+    n_t, n_m, n_e = (np.bincount(r, minlength=rows) for r in (t_row, m_row, e_row))
+    t_at, m_at, e_at = (A.first_of(n) for n in (n_t, n_m, n_e))
+    # ord of a node from its number in the batch; 0 where there is none
+    token = lambda row, k: np.where(k >= 0, k - t_at[row] + 1, 0)
+    mention = lambda row, k: np.where(k >= 0, k - m_at[row] + 1 + n_t[row], 0)
+    entity = lambda row, p: np.where((p >= 0) & (p < n_e[row]), p + 1 + n_t[row] + n_m[row], 0)
+
+    spans, at, _ = A.spread(field(men, "token_index"))
+    ti, ti_ok = A.whole(spans)
+    x, x_ok = A.whole(field(inner, "mention_id"))
+    rel, rrow, _ = A.spread(batch.column("ent_relation"))
+    (rh, rh_ok), (rt, rt_ok) = A.whole(field(rel, "h_idx")), A.whole(field(rel, "t_idx"))
+    at_row, of_row = mrow[at], e_row[of]
+    missing = lambda k, ok: np.where(ok, k, -1)
+    kinds = [
+        (arow, 0, h, token(arow, missing(tokens.find(arow, h), h_ok)), 0, t, token(arow, missing(tokens.find(arow, t), t_ok)), field(arcs, "r")),
+        (at_row, 1, mid[at], mention(at_row, missing(mentions.find(at_row, mid[at]), m_ok[at])), 0, ti, token(at_row, missing(tokens.find(at_row, ti), ti_ok)), pa.array(["RELATED_TO"] * len(at), pa.string())),
+        (of_row, 1, x, mention(of_row, missing(mentions.find(of_row, x), x_ok)), 2, epos[of], entity(of_row, epos[of]), pa.array(["BELONGS_TO"] * len(of), pa.string())),
+        (rrow, 2, rh, entity(rrow, missing(rh, rh_ok)), 2, rt, entity(rrow, missing(rt, rt_ok)), field(rel, "r")),
+    ]
+    row, src, a, dst, b = (np.concatenate([k[i] for k in kinds]) for i in (0, 2, 3, 5, 6))
+    src_kind, dst_kind = (np.repeat([k[i] for k in kinds], [len(k[0]) for k in kinds]) for i in (1, 4))
+    order = np.argsort(row, kind="stable")
+    order = order[(a[order] > 0) & (b[order] > 0)]
+    # of edges with the same ends the first gives the place, the last the relation
+    most = int((n_t + n_m + n_e).max(initial=0)) + 1
+    key = (row[order] * most + a[order]) * most + b[order]
+    by = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], np.diff(key[by]) != 0])) if len(by) else by
+    first_, last = by[new], by[np.concatenate([new[1:] - 1, [len(by) - 1]])] if len(by) else by
+    back = np.argsort(first_, kind="stable")
+    first_, last = order[first_[back]], order[last[back]]
+    rels = pa.concat_arrays([k[7].cast(pa.string()) for k in kinds]).take(pa.array(last))
+
+    i32, i64 = (lambda v: pa.array(v, pa.int32())), (lambda v: pa.array(v, pa.int64()))
+    order = np.argsort(np.concatenate([t_row, m_row, e_row]), kind="stable")
+    take = lambda *x: pa.concat_arrays(x).take(pa.array(order))
+    nodes = pa.StructArray.from_arrays([
+        i32(np.repeat([0, 1, 2], [len(t_row), len(m_row), len(e_row)])[order]), i64(np.concatenate([t_id, m_id, epos])[order]),
+        take(t_name, m_name, e_name), take(pa.nulls(len(t_row) + len(m_row), pa.string()), wiki.cast(pa.string())),
+    ], ["kind", "id", "name", "wikidata"])
+    edges = pa.StructArray.from_arrays(
+        [i32(src_kind[first_]), i64(src[first_]), i32(dst_kind[first_]), i64(dst[first_]), rels, i32(a[first_]), i32(b[first_])], ["src_kind", "src_id", "dst_kind", "dst_id", "rel", "a", "b"]
+    )
+    return pa.RecordBatch.from_arrays([batch.column(doc), A.nested(n_t + n_m + n_e, nodes), A.nested(np.bincount(row[first_], minlength=rows), edges)], ["doc", "nodes", "edges"])
+
+
+def facts(sections: DataFrame, doc: str = "doc") -> DataFrame:
+    """(doc, nodes, edges): the graph of every section(doc, parse_trees, mentions, vertexSet, ent_relation), in one row.
 
     Tokens are those of dependency arcs, first name wins; a mention points to its tokens and to its entities; an entity is
     an outer position of vertexSet; of edges with the same ends the last relation wins. Edges to nodes that
-    do not exist are left out.
+    do not exist, and arcs and mentions without a number, are left out. A section is a row, so nothing is shuffled.
     """
-    s = sections.withColumn("doc", F.col(doc))
-    arcs = s.select("doc", F.posexplode("parse_trees").alias("p", "a"))
-    ends = arcs.select("doc", F.explode(F.array(F.struct((F.col("p") * 2).alias("o"), F.col("a.h_idx").alias("i"), F.col("a.head").alias("name")), F.struct((F.col("p") * 2 + 1).alias("o"), F.col("a.t_idx").alias("i"), F.col("a.child").alias("name")))).alias("e"))
-    tokens = ends.groupBy("doc", "e.i").agg(F.min(F.struct("e.o", "e.name")).alias("f"))
-    tokens = tokens.select("doc", F.lit(0).alias("phase"), F.col("f.o").cast("long").alias("o"), _node("Token_", F.col("i")).alias("node"), F.lit("Token").alias("kind"), F.concat(F.lit("s:"), F.coalesce("f.name", F.lit(""))).alias("name"), F.lit(None).cast("string").alias("wikidata"))
-    m = s.select("doc", F.posexplode("mentions").alias("p", "m"))
-    mentions = m.groupBy("doc", "m.mention_id").agg(F.min(F.struct("p", "m.name")).alias("f"))
-    mentions = mentions.select("doc", F.lit(1).alias("phase"), F.col("f.p").cast("long").alias("o"), _node("Mention_", F.col("mention_id")).alias("node"), F.lit("Mention").alias("kind"), F.concat(F.lit("s:"), F.coalesce("f.name", F.lit(""))).alias("name"), F.lit(None).cast("string").alias("wikidata"))
-    v = s.select("doc", F.posexplode("vertexSet").alias("p", "v"))
-    first = F.get("v", F.lit(0))
-    entities = v.select("doc", F.lit(2).alias("phase"), F.col("p").cast("long").alias("o"), _node("Entity_", F.col("p")).alias("node"), F.lit("Entity").alias("kind"), F.concat(F.lit("i:"), F.coalesce(first["wikipedia_id"].cast("string"), F.lit(""))).alias("name"), first["wikidata_id"].alias("wikidata"))
-    nodes = tokens.unionByName(mentions).unionByName(entities)
-    nodes = nodes.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy("phase", "o", "node"))).select("doc", "ord", "node", "kind", "name", "wikidata")
-
-    tt = arcs.select("doc", F.lit(0).alias("phase"), F.col("p").cast("long").alias("o"), F.lit(0).alias("o2"), _node("Token_", F.col("a.h_idx")).alias("src"), _node("Token_", F.col("a.t_idx")).alias("dst"), F.col("a.r").alias("rel"))
-    tm = m.select("doc", "p", "m.mention_id", F.posexplode("m.token_index").alias("q", "i")).select("doc", F.lit(1).alias("phase"), F.col("p").cast("long").alias("o"), F.col("q").alias("o2"), _node("Mention_", F.col("mention_id")).alias("src"), _node("Token_", F.col("i")).alias("dst"), F.lit("RELATED_TO").alias("rel"))
-    me = v.select("doc", "p", F.posexplode("v").alias("q", "x")).select("doc", F.lit(2).alias("phase"), F.col("p").cast("long").alias("o"), F.col("q").alias("o2"), _node("Mention_", F.col("x.mention_id")).alias("src"), _node("Entity_", F.col("p")).alias("dst"), F.lit("BELONGS_TO").alias("rel"))
-    ee = s.select("doc", F.posexplode("ent_relation").alias("p", "e")).select("doc", F.lit(3).alias("phase"), F.col("p").cast("long").alias("o"), F.lit(0).alias("o2"), _node("Entity_", F.col("e.h_idx")).alias("src"), _node("Entity_", F.col("e.t_idx")).alias("dst"), F.col("e.r").alias("rel"))
-    all_ = tt.unionByName(tm).unionByName(me).unionByName(ee)
-    last = all_.groupBy("doc", "src", "dst").agg(F.min(F.struct("phase", "o", "o2")).alias("at"), F.max(F.struct("phase", "o", "o2", "rel"))["rel"].alias("rel"))
-    ends = nodes.select("doc", "node")
-    last = last.join(ends.withColumnRenamed("node", "src"), ["doc", "src"], "left_semi").join(ends.withColumnRenamed("node", "dst"), ["doc", "dst"], "left_semi")
-    edges = last.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy("at", "src", "dst")))
-    return nodes, edges.select("doc", "ord", "src", "dst", "rel", edge_type(F.col("src"), F.col("dst")).alias("etype"))
+
+    def run(batches):
+        for batch in batches:
+            for part in A.slices(batch, "parse_trees"):
+                yield _facts(part, doc)
+
+    s = sections.select(doc, "parse_trees", "mentions", "vertexSet", "ent_relation")
+    return s.mapInArrow(run, f"doc {dict(s.dtypes)[doc]}, {FACTS}")
+
+
+def _node(kind: Column, ident: Column) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, KINDS)), kind + 1), F.lit("_"), ident.cast("string"))
+
+
+def nodes_of(graphs: DataFrame) -> DataFrame:
+    """Facts as rows (doc, ord, node, kind, name, wikidata)."""
+    n = graphs.select("doc", F.posexplode("nodes").alias("p", "n"))
+    return n.select("doc", (F.col("p") + 1).alias("ord"), _node(F.col("n.kind"), F.col("n.id")).alias("node"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("n.kind") + 1).alias("kind"), "n.name", "n.wikidata")
+
+
+def _etype(e) -> Column:
+    low, high = F.least(e["src_kind"], e["dst_kind"]), F.greatest(e["src_kind"], e["dst_kind"])
+    word = lambda k: F.element_at(F.array(*[F.lit(x.lower()) for x in KINDS]), k + 1)
+    mixed = (low + 1 == high) | (low == high)
+    return F.when(mixed, F.concat(word(low), F.lit("-"), word(high))).otherwise(F.concat(word(e["src_kind"]), F.lit("-"), word(e["dst_kind"])))
+
+
+def edges_of(graphs: DataFrame) -> DataFrame:
+    """Facts as rows (doc, ord, src, dst, rel, etype)."""
+    e = graphs.select("doc", F.posexplode("edges").alias("p", "e"))
+    return e.select("doc", (F.col("p") + 1).alias("ord"), _node(F.col("e.src_kind"), F.col("e.src_id")).alias("src"), _node(F.col("e.dst_kind"), F.col("e.dst_id")).alias("dst"), "e.rel", _etype(F.col("e")).alias("etype"))
+
+
+def simple_of(graphs: DataFrame) -> DataFrame:
+    """``simple_graph`` of facts."""
+    e = graphs.select("doc", F.posexplode("edges").alias("p", "e")).select("doc", "p", F.col("e.a").alias("a"), F.col("e.b").alias("b"), _etype(F.col("e")).alias("etype"))
+    return e.groupBy("doc", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.max(F.struct("p", "etype"))["etype"].alias("etype"))
+
+
+def build_graph(sections: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of sections as rows; see ``facts``."""
+    graphs = facts(sections, doc)
+    return nodes_of(graphs), edges_of(graphs)
 
 
 def simple_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -82,14 +186,12 @@ def counts(nodes: DataFrame, edges: DataFrame, every: DataFrame) -> DataFrame:
     return every.select("doc").distinct().join(n, "doc", "left").join(e, "doc", "left").na.fill(0)
 
 
-def same_counts(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(doc, equal): whether all counts of two graphs agree."""
-    cols = [c for c in a.columns if c != "doc"]
-    b = b.select("doc", *[F.col(c).alias("_" + c) for c in cols])
-    same = F.lit(True)
-    for c in cols:
-        same = same & F.col(c).eqNullSafe(F.col("_" + c))
-    return a.join(b, "doc", "full").select("doc", same.alias("equal"))
+def same_counts(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, equal) of pairs(pair, i, j): whether all ``counts`` of two graphs agree; a graph without a row has none."""
+    cols = [c for c in counts.columns if c != "doc"]
+    side = lambda s, g: counts.select(F.col("doc").alias(g), F.struct(*cols).alias(s))
+    both = pairs.join(side("x", "i"), "i", "left").join(side("y", "j"), "j", "left")
+    return both.select("pair", F.col("x").eqNullSafe(F.col("y")).alias("equal"))
 
 
 def empty_samples(sections: DataFrame, rule: str = "any") -> DataFrame:
@@ -117,27 +219,70 @@ def drop_entities(nodes: DataFrame, edges: DataFrame, ratio: float, seed: int =
     return nodes.join(ends, ["doc", "node"], "left_anti"), kept, ledger
 
 
-def shortest_paths(simple: DataFrame, far: int, loops: float | None = None, nodes: DataFrame | None = None) -> DataFrame:
-    """Simple edges with ``weight``, plus type shortest-path edges of weight 1 / distance between nodes at distance 2..far.
-
-    Distances come from ``far`` - 1 rounds of a self-join, each keeping only pairs that are new.
-    ``loops``: weight of self-loops to add where missing, for nodes(doc, u) or else the nodes with an edge.
+def _paths(n: int, u: np.ndarray, v: np.ndarray, far: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, distance) with a < b of nodes 0 .. n - 1 at distance 2 .. far, by breadth-first search from a block of nodes at a time."""
+    both = np.unique(np.concatenate([u * n + v, v * n + u]))
+    src, dst = both // max(1, n), both % max(1, n)
+    src, dst = src[src != dst], dst[src != dst]
+    degree = np.bincount(src, minlength=n)
+    first = A.first_of(degree)
+    block = max(1, (4 << 20) // max(1, n))
+    for at in range(0, n, block):
+        size = min(block, n - at)
+        seen = np.zeros(size * n, dtype=bool)
+        front = np.arange(size) * n + np.arange(at, at + size)
+        seen[front] = True
+        for d in range(1, far + 1):
+            x = front % n
+            step = np.repeat(front // n * n, degree[x]) + dst[A.ranges(first[x], degree[x])]
+            front = np.unique(step[~seen[step]])
+            if not len(front):
+                break
+            seen[front] = True
+            a, b = at + front // n, front % n
+            if d > 1:
+                yield a[a < b], b[a < b], np.full(int((a < b).sum()), d)
+
+
+def augment(packed: DataFrame, far: int, loops: float | None = None, weight: Callable[[int], float] = lambda d: 1 / d) -> DataFrame:
+    """Packed graphs (see ``kernel``) with edges of type shortest-path between nodes at distance 2..far, weighted by their distance.
+
+    Distances are numbers of edges of the graph as it comes. ``loops``: weight of self-loops to add where missing, none if null.
+    A graph is a row, so nothing is shuffled; the search keeps one bit for each of about four million pairs of nodes.
     """
-    both = simple.where("u <> v").select("doc", F.col("u").alias("a"), F.col("v").alias("b"))
-    both = both.unionByName(both.select("doc", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen, edge = both.withColumn("dist", F.lit(1)), both.select("doc", F.col("a").alias("b"), F.col("b").alias("c"))
-    last = seen
-    for d in range(2, far + 1):
-        step = last.select("doc", "a", "b").join(edge, ["doc", "b"]).where("a <> c").select("doc", "a", F.col("c").alias("b")).distinct()
-        last = step.join(seen, ["doc", "a", "b"], "left_anti").withColumn("dist", F.lit(d))
-        seen = seen.unionByName(last)
-    new = seen.where("dist > 1 and a < b").select("doc", F.col("a").alias("u"), F.col("b").alias("v"), F.lit("shortest-path").alias("etype"), (1.0 / F.col("dist")).alias("weight"))
-    out = simple.select("doc", "u", "v", "etype", F.lit(1.0).alias("weight")).unionByName(new)
-    if loops is not None:
-        ids = nodes if nodes is not None else simple.select("doc", F.explode(F.array("u", "v")).alias("u")).distinct()
-        missing = ids.join(simple.where("u = v").select("doc", "u"), ["doc", "u"], "left_anti")
-        out = out.unionByName(missing.select("doc", "u", F.col("u").alias("v"), F.lit("shortest-path").alias("etype"), F.lit(float(loops)).alias("weight")))
-    return out
+    worth = np.array([0.0, 0.0] + [float(weight(d)) for d in range(2, far + 1)])
+
+    def one(n: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(n, kind="stable")
+        place = lambda x: order[np.searchsorted(n, x, sorter=order)]
+        x, y = place(u), place(v)
+        found = list(_paths(len(n), x, y, far))
+        a, b, d = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        more = np.setdiff1d(np.arange(len(n)), x[x == y]) if loops is not None else np.zeros(0, np.int64)
+        return np.concatenate([n[a], n[more]]), np.concatenate([n[b], n[more]]), np.concatenate([worth[d], np.full(len(more), loops or 0.0)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch, "n"):
+                ids, us, vs = (part.column(c).to_pylist() for c in ("n", "u", "v"))
+                made = [one(*(np.array(x, dtype=np.int64) for x in row)) for row in zip(ids, us, vs)]
+                old = {c: A.spread(part.column(c)) for c in ("u", "v", "etype", "weight")}
+                size = np.array([len(m[0]) for m in made], dtype=np.int64)
+                new = [pa.array(np.concatenate([m[i] for m in made] or [np.zeros(0)]), t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+                new.insert(2, pa.array(["shortest-path"] * int(size.sum()), pa.string()))
+                row = np.concatenate([old["u"][1], np.repeat(np.arange(len(made)), size)])
+                order = pa.array(np.argsort(row, kind="stable"))
+                cols = [A.nested(np.bincount(row, minlength=len(part)), pa.concat_arrays([old[c][0].cast(x.type), x]).take(order)) for c, x in zip(old, new)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in ("g", "n", "label")] + cols, ["g", "n", "label", *old])
+
+    names = ["g", "n", "label", "u", "v", "etype", "weight"]
+    kinds = dict(packed.dtypes)
+    return packed.select(names).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def edges_flat(packed: DataFrame) -> DataFrame:
+    """Edges of packed graphs as rows (doc, u, v, etype, weight)."""
+    return packed.select(F.col("g").alias("doc"), F.explode(F.arrays_zip("u", "v", "etype", "weight")).alias("e")).select("doc", "e.*")
 
 
 def without_words(nodes: DataFrame, edges: DataFrame, stop=T.STOPWORDS) -> tuple[DataFrame, DataFrame]:

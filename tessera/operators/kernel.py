@@ -1,138 +1,303 @@
-"""Weisfeiler-Lehman edge-histogram kernels over graphs held as tables.
+"""Weisfeiler-Lehman edge-histogram kernels.
 
-Graphs: nodes(g, n, label) and simple edges(g, u, v, etype[, weight]) with u <= v. Labels of one round are MD5s of a node's
-label and its neighbours' sorted labels, so they agree across graphs without a dictionary.
+Graphs come as tables, nodes(g, n, label) and simple edges(g, u, v, etype[, weight]) with u <= v, or packed, one graph a row:
+(g, n, label, u, v, etype, weight), arrays but for g. Labels and histograms of a packed graph are made from its row alone, and a
+pair of graphs is compared in one row that holds both, so all that moves is one row a graph for each of its pairs; in
+between, numpy works on many rows at a time.
+
+A label is the first 60 bits of an MD5: of the node's name in round 0, then of its label and the sum (modulo 2^64) of its neighbours'
+labels, which is alike for neighbours in any order. So labels agree across graphs without a dictionary, and in SQL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import arrays as A
+from tessera.operators import graph as G
 from tessera.sources.tables import settle
 
+#: Weights of edge types: the default, and the fixed values of a second set, where a misspelt type leaves entity-entity edges at 1.
 WEIGHTS = {"token-token": 1.0, "token-mention": 1.0, "mention-entity": 0.5, "entity-entity": 0.0}
+SECOND_WEIGHTS = {"token-token": 0.0, "token-mention": 2.0, "mention-entity": 3.0, "entity-entity ": 1.5, "shortest-path": 0.1}
+#: Stands for a denominator of 0.
+TINY = 1e-12
 
+PACKED = "n array<bigint>, label array<string>, u array<bigint>, v array<bigint>, etype array<string>, weight array<double>"
+HISTOGRAM = "round array<int>, a array<bigint>, b array<bigint>, t array<int>, edges array<bigint>, weight array<double>, fa array<bigint>, fb array<bigint>, ct array<bigint>, types array<string>"
 
-def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int, use_labels: bool = True) -> DataFrame:
-    """(g, n, round, label) for rounds 0..rounds. Without labels the degree stands in, where a self-loop counts twice.
 
-    Only unlike ends are neighbours twice; a self-loop makes a node its own neighbour once.
-    """
-    if not use_labels:
-        ends = edges.select("g", F.explode(F.array("u", "v")).alias("n")).groupBy("g", "n").count()
-        nodes = nodes.select("g", "n").join(ends, ["g", "n"], "left").select("g", "n", F.coalesce("count", F.lit(0)).cast("string").alias("label"))
-    near = edges.select("g", F.col("u").alias("n"), F.col("v").alias("m")).unionByName(edges.where("u <> v").select("g", F.col("v").alias("n"), F.col("u").alias("m")))
-    cur = nodes.select("g", "n", F.md5(F.col("label").cast("string")).alias("label"))
-    out = cur.withColumn("round", F.lit(0))
-    for r in range(1, rounds + 1):
-        seen = near.join(cur.withColumnRenamed("n", "m").withColumnRenamed("label", "l"), ["g", "m"]).groupBy("g", "n").agg(F.array_join(F.array_sort(F.collect_list("l")), ",").alias("around"))
-        cur = cur.join(seen, ["g", "n"], "left").select("g", "n", F.md5(F.concat("label", F.lit("|"), F.coalesce("around", F.lit("")))).alias("label"))
-        out = out.unionByName(cur.withColumn("round", F.lit(r)))
-    return out.select("g", "n", "round", "label")
-
-
-def histogram(labels: DataFrame, edges: DataFrame, typed: bool = True) -> DataFrame:
-    """(g, round, a, b, etype, edges, weight, fa, fb, ct): for every key the number and weight of its edges, how often
-    its labels occur in the graph, and the number of edges of its type."""
-    if not typed:
-        edges = edges.withColumn("etype", F.lit("edge"))
-    if "weight" not in edges.columns:
-        edges = edges.withColumn("weight", F.lit(1.0))
-    labels = settle(labels, "labels")
-    freq = labels.groupBy("g", "round", "label").agg(F.count("*").alias("f"))
-    full = labels.join(freq, ["g", "round", "label"])
-    e = edges.withColumn("ct", F.count("*").over(Window.partitionBy("g", "etype")))
-    e = e.join(full.select("g", F.col("n").alias("u"), "round", F.col("label").alias("a"), F.col("f").alias("fa")), ["g", "u"])
-    e = e.join(full.select("g", F.col("n").alias("v"), "round", F.col("label").alias("b"), F.col("f").alias("fb")), ["g", "v", "round"])
-    # every pair of graphs reads both graphs' rows, so the histogram is written once
-    return settle(e.groupBy("g", "round", "a", "b", "etype").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.first("fa").alias("fa"), F.first("fb").alias("fb"), F.first("ct").alias("ct")), "histogram")
+def pack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Packed graphs of nodes(g, n, label) and edges(g, u, v, etype[, weight]). Nodes and edges of one graph meet in one row."""
+    n = nodes.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("long").alias("n"), F.col("label").cast("string").alias("label")))).alias("x"))
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    e = edges.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "etype", weight.alias("weight")))).alias("y"))
+    empty = lambda c, t: F.coalesce(F.col(c), F.array().cast(t))
+    return n.join(e, "g", "left").select("g", "x.n", "x.label", *[empty(f"y.{c}", t).alias(c) for c, t in (("u", "array<bigint>"), ("v", "array<bigint>"), ("etype", "array<string>"), ("weight", "array<double>"))])
+
+
+def packed_facts(graphs: DataFrame, mode: int = 2) -> DataFrame:
+    """Packed simple graphs of facts(doc, nodes, edges). ``mode``: edges have no type (0), their relation (1), or the kinds of their ends (2)."""
+    each = F.transform("edges", lambda e: F.lit("edge") if mode == 0 else F.coalesce(e["rel"], F.lit("")) if mode == 1 else G._etype(e))
+    long = lambda f: F.transform("edges", lambda e: f(e["a"], e["b"]).cast("long"))
+    return graphs.select(
+        F.col("doc").alias("g"), F.transform("nodes", lambda _, i: (i + 1).cast("long")).alias("n"), F.col("nodes.name").alias("label"),
+        long(F.least).alias("u"), long(F.greatest).alias("v"), each.alias("etype"), F.transform("edges", lambda _: F.lit(1.0)).alias("weight"),
+    )
+
+
+class _Batch:
+    """Some packed graphs: nodes and edges of all of them, one graph after the other. Of edges with the same ends the last stands."""
+
+    def __init__(self, batch: pa.RecordBatch, rounds: int, use_labels: bool = True):
+        self.g, self.rows = batch.column("g"), len(batch)
+        ids, self.row, _ = A.spread(batch.column("n"))
+        names = A.spread(batch.column("label"))[0]
+        ends = A.Ids(self.row, A.whole(ids)[0])
+        u, row, _ = A.spread(batch.column("u"))
+        u, v = A.whole(u)[0], A.whole(A.spread(batch.column("v"))[0])[0]
+        x, y = ends.find(row, u), ends.find(row, v)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        key = np.where(x >= 0, x * (len(ids) + 1) + y, -1)
+        order = np.argsort(key, kind="stable")
+        last = order[np.flatnonzero(np.concatenate([np.diff(key[order]) != 0, [True]]))] if len(order) else order
+        last = np.sort(last[key[last] >= 0])
+        self.erow, self.u, self.v = row[last], x[last], y[last]
+        self.etype = A.spread(batch.column("etype"))[0].take(pa.array(last))
+        self.weight = A.spread(batch.column("weight"))[0].take(pa.array(last)).to_numpy(zero_copy_only=False).astype(np.float64)
+        self.labels = self._labels(names, rounds, use_labels)
+
+    def _labels(self, names: pa.Array, rounds: int, use_labels: bool) -> list[np.ndarray]:
+        n = len(names)
+        if use_labels:
+            coded = pc.fill_null(names, "").dictionary_encode()
+            cur = _digests(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if n else np.zeros(0, np.int64)
+        else:  # the degree stands in, where a self-loop counts twice
+            degree, back = np.unique(np.bincount(self.u, minlength=n) + np.bincount(self.v, minlength=n), return_inverse=True)
+            cur = _digests([str(d) for d in degree.tolist()])[back] if n else np.zeros(0, np.int64)
+        # only unlike ends are neighbours twice; a self-loop makes a node its own neighbour once
+        two = self.u != self.v
+        ends, near = np.concatenate([self.u, self.v[two]]), np.concatenate([self.v, self.u[two]])
+        out = [cur]
+        for _ in range(rounds):
+            total = np.zeros(n, dtype=np.uint64)
+            np.add.at(total, ends, cur[near].astype(np.uint64))
+            at, back = A.groups(cur, total)
+            cur = _digests([f"{a}|{b}" for a, b in zip(cur[at].tolist(), total[at].tolist())])[back]
+            out.append(cur)
+        return out
+
+
+def _digests(texts: list[str]) -> np.ndarray:
+    return np.array([int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in texts], dtype=np.int64)
+
+
+def wl_labels(packed: DataFrame, rounds: int, use_labels: bool = True) -> DataFrame:
+    """(g, n, round, label) of packed graphs for rounds 0..rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch, "n"):
+                x = _Batch(part, rounds, use_labels)
+                ids = A.spread(part.column("n"))[0]
+                for r, label in enumerate(x.labels):
+                    yield pa.RecordBatch.from_arrays([x.g.take(pa.array(x.row)), ids.cast(pa.int64()), pa.array(np.full(len(label), r), pa.int32()), pa.array(label, pa.int64())], ["g", "n", "round", "label"])
+
+    return packed.mapInArrow(run, f"g {dict(packed.dtypes)['g']}, n bigint, round int, label bigint")
+
+
+def histograms(packed: DataFrame, rounds: int = 1, typed: bool = True, use_labels: bool = True) -> DataFrame:
+    """(g, round, a, b, t, edges, weight, fa, fb, ct, types): for every key (round, labels a and b of the ends in node order, type
+    types[t]) of a graph the number and weight of its edges, how often its labels occur in the graph, and the number of edges of its type."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch, "n"):
+                yield _histogram(_Batch(part, rounds, use_labels), typed)
+
+    return packed.mapInArrow(run, f"g {dict(packed.dtypes)['g']}, {HISTOGRAM}")
+
+
+def _histogram(x: _Batch, typed: bool) -> pa.RecordBatch:
+    coded = (pc.fill_null(x.etype, "") if typed else pa.array(["edge"] * len(x.u), pa.string())).dictionary_encode()
+    names, t = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    many = max(1, len(names))
+    # types are numbered within their graph
+    pair, t_back, ct = np.unique(x.erow * many + t, return_inverse=True, return_counts=True)
+    n_types = np.bincount(pair // many, minlength=x.rows)
+    own_t = np.arange(len(pair)) - A.first_of(n_types)[pair // many]
+    parts = []
+    for r, label in enumerate(x.labels):
+        group = A.groups(x.row, label)[1]
+        f = np.bincount(group)
+        key = (group[x.u] * (len(f) + 1) + group[x.v]) * (len(pair) + 1) + t_back
+        _, at, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        parts.append((x.erow[at], np.full(len(at), r), label[x.u[at]], label[x.v[at]], own_t[t_back[at]], n, np.bincount(back, x.weight, minlength=len(at)), f[group[x.u[at]]], f[group[x.v[at]]], ct[t_back[at]]))
+    row, *cols = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    size = np.bincount(row, minlength=x.rows)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    lists = [A.nested(size, pa.array(c[order], k)) for c, k in zip(cols, kinds)]
+    types = A.nested(n_types, pa.array([names[k] for k in (pair % many).tolist()], pa.string()))
+    return pa.RecordBatch.from_arrays([x.g, *lists, types], ["g", "round", "a", "b", "t", "edges", "weight", "fa", "fb", "ct", "types"])
+
+
+def flat(hists: DataFrame) -> DataFrame:
+    """Histograms as rows (g, round, a, b, etype, edges, weight, fa, fb, ct)."""
+    # types are looked up before rows are made, so that no row carries the arrays
+    z = hists.select("g", F.transform(F.arrays_zip("round", "a", "b", F.transform("t", lambda i: F.get(F.col("types"), i)).alias("etype"), "edges", "weight", "fa", "fb", "ct"), lambda x: x).alias("z"))
+    names = ("round", "a", "b", "etype", "edges", "weight", "fa", "fb", "ct")
+    return z.select("g", F.explode("z").alias("z")).select("g", *[F.col("z").getField(c).alias(c) for c in names])
+
+
+def _half(weight, fa, fb, ct, own, sqrt, where):
+    """Root of one graph's part of a key: twice the weight over f (f - 1) c for equal labels that occur more than once in both graphs, else over f_a f_b c."""
+    return sqrt(where(own, 2 * weight / where(own, fa * (fa - 1) * ct, 1), 2 * weight / (fa * fb * ct)))
 
 
 def shares(hist: DataFrame, pairs: DataFrame, frequency: str = "second", per_type: bool = True, similarity: DataFrame | None = None) -> DataFrame:
-    """(pair, etype, s): unweighted sums of K(i, j) by edge type for pairs(pair, i, j).
+    """(pair, etype, s): unweighted sums of K(i, j) by edge type for pairs(pair, i, j), by a join of flat histograms.
 
     A key with edges in both graphs adds sqrt(e_i e_j) times both labels' frequencies, where e is twice the edges over
-    f (f - 1) for equal labels that occur more than once in both graphs, else the edges over f_a f_b, each over the
-    number of the type's edges (``per_type``). ``frequency``: of the second graph, or the ``min`` of both.
-    Type weights come later: K(w) is the sum of w s, since labels do not depend on weights.
+    f (f - 1) for equal labels that occur more than once in both graphs, else twice the edges over f_a f_b, each over the
+    number of the type's edges (``per_type``). ``frequency``: of the second graph, or the ``min`` of both. ``similarity``: (pair, round,
+    a, b, etype, sim), factors of keys, 1 where there is none. Type weights come later: K(w) is the sum of w s, since labels do not depend on weights.
     """
     side = lambda s, g: hist.select(F.col("g").alias(g), "round", "a", "b", "etype", *[F.col(c).alias(c + s) for c in ("weight", "fa", "fb", "ct")])
     k = pairs.join(side("_i", "i"), "i").join(side("_j", "j"), ["j", "round", "a", "b", "etype"])
     own = (F.col("a") == F.col("b")) & (F.col("fa_i") > 1) & (F.col("fa_j") > 1)
 
-    def e(s: str):
+    def half(s: str) -> Column:
         c = F.col("ct" + s) if per_type else F.lit(1)
-        fa, fb = F.col("fa" + s).cast("double"), F.col("fb" + s).cast("double")
-        return F.when(own, 2 * F.col("weight" + s) / (fa * (fa - 1) * c)).otherwise(F.col("weight" + s) / (fa * fb * c))
+        return _half(F.col("weight" + s), F.col("fa" + s).cast("double"), F.col("fb" + s).cast("double"), c, own, F.sqrt, lambda q, x, y: F.when(q, x).otherwise(y))
 
     fa, fb = (F.col("fa_j"), F.col("fb_j")) if frequency == "second" else (F.least("fa_i", "fa_j"), F.least("fb_i", "fb_j"))
-    term = F.sqrt(e("_i") * e("_j")) * fa * fb
+    term = half("_i") * half("_j") * fa * fb
     if similarity is not None:
-        k = k.join(similarity, ["pair", "a", "b", "etype"], "left")
+        k = k.join(similarity, ["pair", "round", "a", "b", "etype"], "left")
         term = term * F.coalesce("sim", F.lit(1.0))
     return k.groupBy("pair", "etype").agg(F.sum(term).alias("s"))
 
 
-def entries(hist: DataFrame, pairs: DataFrame, **how) -> DataFrame:
-    """(pair, etype, k01, k00, k11) for pairs(pair, i, j). Each graph's own entry is made once, however many pairs have it."""
-    own = pairs.select(F.explode(F.array("i", "j")).alias("pair")).distinct().select("pair", F.col("pair").alias("i"), F.col("pair").alias("j"))
-    self_ = shares(hist, own, **how).select(F.col("pair").alias("g"), "etype", F.col("s"))
-    types = hist.select("etype").distinct()
-    grid = pairs.join(F.broadcast(types))  # as many types as there are edge types
-    both = shares(hist, pairs, **how).withColumnRenamed("s", "k01")
-    out = grid.join(both, ["pair", "etype"], "left")
-    out = out.join(self_.withColumnRenamed("g", "i").withColumnRenamed("s", "k00"), ["i", "etype"], "left").join(self_.withColumnRenamed("g", "j").withColumnRenamed("s", "k11"), ["j", "etype"], "left")
-    return out.select("pair", "etype", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("k01", "k00", "k11")])
+def _terms(x: Mapping[str, np.ndarray], y: Mapping[str, np.ndarray], frequency: str, per_type: bool) -> np.ndarray:
+    """Contributions of keys that stand alike in two graphs."""
+    own = (x["a"] == x["b"]) & (x["fa"] > 1) & (y["fa"] > 1)
+    f = (lambda c: y[c]) if frequency == "second" else (lambda c: np.minimum(x[c], y[c]))
+    half = lambda z: _half(z["weight"], z["fa"].astype(float), z["fb"].astype(float), z["ct"] if per_type else 1, own, np.sqrt, np.where)
+    return half(x) * half(y) * f("fa") * f("fb")
+
+
+_KEYS = ("round", "a", "b", "t", "weight", "fa", "fb", "ct")
+
 
+def _compare(frequency: str, per_type: bool):
+    def one(x: Mapping[str, np.ndarray], y: Mapping[str, np.ndarray], many: int) -> tuple[np.ndarray, ...]:
+        n = len(x["a"])
+        both = {c: np.concatenate([x[c], y[c]]) for c in ("round", "a", "b", "t")}
+        order = np.lexsort((both["t"], both["b"], both["a"], both["round"]))
+        same = np.ones(max(0, len(order) - 1), dtype=bool)
+        for c in both.values():
+            same &= c[order][1:] == c[order][:-1]
+        at = np.flatnonzero(same)  # the first graph's row comes first, as the sort is stable
+        i, j = order[at], order[at + 1] - n
+        sums = lambda s, t: np.bincount(t, s, minlength=many)
+        cross = _terms({c: x[c][i] for c in _KEYS}, {c: y[c][j] for c in _KEYS}, frequency, per_type)
+        return sums(cross, x["t"][i]), sums(_terms(x, x, frequency, per_type), x["t"]), sums(_terms(y, y, frequency, per_type), y["t"])
 
-def weigh(parts: DataFrame, weights: DataFrame, key: list[str] | None = None, normalise: str = "cosine") -> DataFrame:
-    """Scores (pair, *key, score) of entries under weights(*key, etype, w); a type without weight counts 1.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {}
+            for s in ("_i", "_j"):
+                for c in _KEYS:
+                    col = batch.column(c + s)
+                    cols[c + s] = (col.flatten().to_numpy(zero_copy_only=False), A.lengths(col))
+                cols["types" + s] = batch.column("types" + s).to_pylist()
+            ends = {k: np.concatenate([[0], np.cumsum(v[1])]) for k, v in cols.items() if not k.startswith("types")}
+            out: list[tuple] = []
+            for r in range(len(batch)):
+                number: dict[str, int] = {}
+                sides = []
+                for s in ("_i", "_j"):
+                    x = {c: cols[c + s][0][ends[c + s][r] : ends[c + s][r + 1]] for c in _KEYS}
+                    codes = np.array([number.setdefault(t, len(number)) for t in cols["types" + s][r] or []], dtype=np.int64)
+                    sides.append(x | {"t": codes[x["t"]] if len(codes) else np.zeros(0, np.int64)})
+                if number:
+                    out += [(r, t, float(a), float(b), float(c)) for t, a, b, c in zip(number, *one(*sides, len(number)))]
+                else:
+                    out.append((r, "", 0.0, 0.0, 0.0))
+            row, *rest = zip(*out) if out else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column("pair").take(pa.array(row, pa.int64())), *[pa.array(c, k) for c, k in zip(rest, [pa.string()] + [pa.float64()] * 3)]], ["pair", "etype", "k01", "k00", "k11"])
 
-    ``cosine``: K01 / sqrt(K00 K11), where 0 becomes 1e-12; ``none``: K01.
+    return run
+
+
+def entries(hists: DataFrame, pairs: DataFrame, frequency: str = "second", per_type: bool = True) -> DataFrame:
+    """(pair, etype, k01, k00, k11) for pairs(pair, i, j) of graphs with histograms; a pair without edges has one row of zeros, of type ''."""
+    hists = settle(hists, "histograms")  # both sides of every pair read it
+    side = lambda s, g: hists.select(F.col("g").alias(g), *[F.col(c).alias(c + s) for c in (*_KEYS, "types")])
+    both = pairs.select("pair", "i", "j").join(side("_i", "i"), "i", "left").join(side("_j", "j"), "j", "left").drop("i", "j")
+    return both.mapInArrow(_compare(frequency, per_type), f"pair {dict(pairs.dtypes)['pair']}, etype string, k01 double, k00 double, k11 double")
+
+
+def weigh(parts: DataFrame, weights: DataFrame, key: list[str] | None = None, normalise: str = "cosine", only: tuple[str, ...] | None = None) -> DataFrame:
+    """Scores (pair, *key, score) of entries under weights(*key, etype, w); a type without weight counts 1. ``only``: types that count at all.
+
+    ``cosine``: K01 / sqrt(K00 K11), where 0 becomes 1e-12; ``none``: K01; ``empty``: K01 / 1e-12, as where own entries are never made.
     """
     key = key or []
     if key:
-        grid = parts.join(F.broadcast(weights.select(key).distinct()))  # a grid of weight vectors is small by nature
-        w = grid.join(F.broadcast(weights), [*key, "etype"], "left")
+        w = parts.crossJoin(weights.select(key).distinct()).join(weights, [*key, "etype"], "left")  # a list of weight vectors, not data
     else:
-        w = parts.join(F.broadcast(weights), "etype", "left")
-    one = F.coalesce("w", F.lit(1.0))
+        w = parts.join(weights, "etype", "left")
+    one = F.coalesce("w", F.lit(1.0)) if only is None else F.when(F.col("etype").isin(*only), F.coalesce("w", F.lit(1.0))).otherwise(0.0)
     k = w.groupBy("pair", *key).agg(*[F.sum(F.col(c) * one).alias(c) for c in ("k01", "k00", "k11")])
     root = F.sqrt(F.col("k00") * F.col("k11"))
-    score = F.col("k01") / F.when(root == 0, 1e-12).otherwise(root) if normalise == "cosine" else F.col("k01")
+    score = {"cosine": F.col("k01") / F.when(root == 0, TINY).otherwise(root), "none": F.col("k01"), "empty": F.col("k01") / TINY}[normalise]
     return k.select("pair", *key, score.alias("score"))
 
 
-def weight_table(spark, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def weight_table(spark, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     return spark.createDataFrame(list(weights.items()), "etype string, w double")
 
 
-def score(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, rounds: int = 1, weights: dict[str, float] = WEIGHTS, frequency: str = "second", normalise: str = "cosine") -> DataFrame:
-    """(pair, score): typed kernel of pairs(pair, i, j) of graphs."""
-    hist = histogram(wl_labels(nodes, edges, rounds), edges)
-    return weigh(entries(hist, pairs, frequency=frequency), weight_table(nodes.sparkSession, weights), normalise=normalise)
+def score(packed: DataFrame, pairs: DataFrame, rounds: int = 1, weights: Mapping[str, float] = WEIGHTS, frequency: str = "second", normalise: str = "cosine", typed: bool = True, per_type: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(pair, score): kernel of pairs(pair, i, j) of packed graphs."""
+    parts = entries(histograms(packed, rounds, typed), pairs, frequency, per_type)
+    return weigh(parts, weight_table(packed.sparkSession, weights), normalise=normalise, only=only)
 
 
-def first_version(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, rounds: int = 1, frequency: str = "second", cosine: bool = False) -> DataFrame:
+def first_version(packed: DataFrame, pairs: DataFrame, rounds: int = 1, frequency: str = "second", cosine: bool = False) -> DataFrame:
     """(pair, score): the untyped kernel, without counts of types; unnormalised unless ``cosine``."""
-    hist = histogram(wl_labels(nodes, edges, rounds), edges, typed=False)
-    if cosine:
-        return weigh(entries(hist, pairs, frequency=frequency, per_type=False), weight_table(nodes.sparkSession, {"edge": 1.0}))
-    k = shares(hist, pairs, frequency=frequency, per_type=False).groupBy("pair").agg(F.sum("s").alias("score"))
-    return pairs.select("pair").join(k, "pair", "left").na.fill(0.0)
+    return score(packed, pairs, rounds, {"edge": 1.0}, frequency, "cosine" if cosine else "none", False, False)
+
+
+def sections_scores(packed: DataFrame, sections: DataFrame, source: str, **how) -> DataFrame:
+    """(sample, section, score) of sections(sample, section, g): the source section against each other one of its sample."""
+    first = sections.where(F.col("section") == source).select("sample", F.col("g").alias("i"))
+    pairs = sections.where(F.col("section") != source).join(first, "sample").select(F.struct("sample", "section").alias("pair"), "i", F.col("g").alias("j"))
+    return score(packed, pairs, **how).select("pair.sample", "pair.section", "score")
+
+
+def _cosines(p: Column, q: Column) -> Column:
+    return F.greatest(F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
-def pair_similarity(edges: DataFrame, pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(pair, a, b, etype, sim): for each key of both graphs, the mean over edge pairs of max(cosine, 0) at u times the same at v.
+def pair_similarity(edges: DataFrame, pairs: DataFrame, vectors: DataFrame, key: tuple[str, ...] = ("a", "b", "etype")) -> DataFrame:
+    """(pair, *key, sim): for each key of both graphs, the mean over edge pairs of max(cosine, 0) at u times the same at v.
 
-    edges(g, a, b, etype, u, v), vectors(g, n, embedding). Edge pairs meet on the key within a pair of graphs.
+    edges(g, *key, u, v), vectors(g, n, embedding). Edge pairs meet on the key within a pair of graphs.
     """
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y * y)
-    vec = vectors.select("g", "n", F.when(norm > 0, unit(F.col("embedding"))).otherwise(F.col("embedding")).alias("x"))
+    unit = F.transform("embedding", lambda x: x / F.sqrt("norm"))
+    vec = vectors.withColumn("norm", norm).select("g", "n", F.when(F.col("norm") > 0, unit).otherwise(F.col("embedding")).alias("x"))
     e = edges.join(vec.select("g", F.col("n").alias("u"), F.col("x").alias("xu")), ["g", "u"]).join(vec.select("g", F.col("n").alias("v"), F.col("x").alias("xv")), ["g", "v"])
-    side = lambda s, g: e.select(F.col("g").alias(g), "a", "b", "etype", F.col("xu").alias("xu" + s), F.col("xv").alias("xv" + s))
-    k = pairs.join(side("_i", "i"), "i").join(side("_j", "j"), ["j", "a", "b", "etype"])
-    dot = lambda p, q: F.greatest(F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
-    return k.groupBy("pair", "a", "b", "etype").agg((F.avg(dot("xu_i", "xu_j")) * F.avg(dot("xv_i", "xv_j"))).alias("sim"))
+    side = lambda s, g: e.select(F.col("g").alias(g), *key, F.col("xu").alias("xu" + s), F.col("xv").alias("xv" + s))
+    k = pairs.join(side("_i", "i"), "i").join(side("_j", "j"), ["j", *key])
+    return k.groupBy("pair", *key).agg((F.avg(_cosines(F.col("xu_i"), F.col("xu_j"))) * F.avg(_cosines(F.col("xv_i"), F.col("xv_j")))).alias("sim"))

@@ -7,36 +7,73 @@ entities of consecutive mentions. Whole texts are annotated.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import arrays as A
 
 #: Characters of fixed windows and of the step between them.
 WIDE, STEP = 1000, 800
+#: Characters of a word that is a mention.
+LONG = 6
+
+
+_SECTIONS = (
+    "parse_trees array<struct<head:string,h_idx:bigint,child:string,t_idx:bigint,r:string>>, "
+    "mentions array<struct<mention_id:bigint,name:string,type:string,token_index:array<bigint>>>, "
+    "vertexSet array<array<struct<mention_id:bigint,wikipedia_id:bigint,wikidata_id:string>>>, "
+    "ent_relation array<struct<h_idx:bigint,t_idx:bigint,r:string,score:double>>"
+)
+
+
+def _annotated(batch: pa.RecordBatch) -> pa.RecordBatch:
+    words, row, at = A.spread(batch.column("w"))
+    rows, size = len(batch), A.lengths(batch.column("w"))
+    struct = lambda **x: pa.StructArray.from_arrays(list(x.values()), list(x))
+    i64 = lambda x: pa.array(x, pa.int64())
+    head = words.take(pa.array(np.arange(len(row)) - (at > 0)))
+    trees = struct(head=head, h_idx=i64(np.maximum(at - 1, 0)), child=words, t_idx=i64(at), r=pa.array(["ROOT", "next"]).take(pa.array((at > 0).astype(int))))
+
+    men = np.flatnonzero(pc.utf8_length(words).to_numpy(zero_copy_only=False) >= LONG)
+    coded = words.take(pa.array(men)).dictionary_encode()
+    m_row, ids = row[men], at[men]
+    entities = A.Ids(m_row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    entity = entities.find(m_row, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    e_row = m_row[entities.at]
+    n_m, n_e = np.bincount(m_row, minlength=rows), np.bincount(e_row, minlength=rows)
+    place = entity - A.first_of(n_e)[m_row]
+    mentions = struct(mention_id=i64(ids), name=words.take(pa.array(men)), type=pa.array(["X"] * len(men), pa.string()), token_index=A.nested(np.ones(len(men), dtype=np.int64), i64(ids)))
+
+    wiki = np.array([int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    order = np.argsort(entity, kind="stable")
+    own = wiki[coded.indices.to_numpy(zero_copy_only=False)[order]] if len(order) else wiki[:0]
+    known = np.array([f"Q{x}" if x % 3 else "" for x in own.tolist()], dtype=object)
+    inner = struct(mention_id=i64(ids[order]), wikipedia_id=i64(own), wikidata_id=pa.array(known, pa.string()))
+    vertices = A.nested(n_e, A.nested(np.bincount(entity, minlength=len(e_row)), inner))
+
+    near = np.flatnonzero((m_row[1:] == m_row[:-1]) & (place[1:] != place[:-1]))
+    rel = struct(h_idx=i64(place[near]), t_idx=i64(place[near + 1]), r=pa.array(["P1"] * len(near), pa.string()), score=pa.nulls(len(near), pa.float64()))
+    cols = [batch.column("doc"), A.nested(size, trees), A.nested(n_m, mentions), vertices, A.nested(np.bincount(m_row[near], minlength=rows), rel)]
+    return pa.RecordBatch.from_arrays(cols, ["doc", "parse_trees", "mentions", "vertexSet", "ent_relation"])
 
 
 def sections(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, parse_trees, mentions, vertexSet, ent_relation) of every document."""
+    """(doc, parse_trees, mentions, vertexSet, ent_relation) of every document with a word. A real parser is a model call on
+    rows, too, so this stands in as one: rows come and go in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            for part in A.slices(batch, "w"):
+                yield _annotated(part)
+
     s = docs.select(F.col(doc).alias("doc"), T.words(text).alias("w")).where(F.size("w") > 0)
-    # arcs by zipping the words with themselves: looking words up by number would find them anew for each arc
-    before = F.concat(F.slice("w", 1, 1), F.slice("w", F.lit(1), F.size("w") - 1))
-    both = F.zip_with(before, "w", lambda h, c: F.struct(h.alias("h"), c.alias("c")))
-    arc = lambda x, i: F.struct(x["h"].alias("head"), F.greatest(i - 1, F.lit(0)).cast("long").alias("h_idx"), x["c"].alias("child"), i.cast("long").alias("t_idx"), F.when(i == 0, "ROOT").otherwise("next").alias("r"))
-    s = s.withColumn("parse_trees", F.transform(both, arc))
-    m = F.filter(F.transform("w", lambda w, i: F.struct(i.cast("long").alias("mention_id"), w.alias("name"), F.lit("X").alias("type"), F.array(i.cast("long")).alias("token_index"))), lambda x: F.length(x["name"]) >= 6)
-    s = s.withColumn("mentions", m)
-    # entities and relations are grouped as rows: a map by position would be quadratic in long texts
-    p = s.select("doc", F.posexplode("mentions").alias("k", "m")).select("doc", "k", "m.mention_id", "m.name")
-    e = p.groupBy("doc", "name").agg(F.min("k").alias("first"), F.array_sort(F.collect_list("mention_id")).alias("ids"))
-    wiki = F.conv(F.substring(F.md5("name"), 1, 7), 16, 10).cast("long")
-    e = e.withColumn("wiki", wiki).withColumn("wd", F.when(F.col("wiki") % 3 != 0, F.concat(F.lit("Q"), F.col("wiki").cast("string"))).otherwise(""))
-    inner = F.transform("ids", lambda i: F.struct(i.alias("mention_id"), F.col("wiki").alias("wikipedia_id"), F.col("wd").alias("wikidata_id")))
-    v = e.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", inner.alias("v")))).alias("v")).select("doc", F.transform("v", lambda x: x["v"]).alias("vertexSet"))
-    pos = e.select("doc", "name", (F.row_number().over(Window.partitionBy("doc").orderBy("first")) - 1).cast("long").alias("h_idx"))
-    q = p.join(pos, ["doc", "name"]).withColumn("t_idx", F.lead("h_idx").over(Window.partitionBy("doc").orderBy("k"))).where("h_idx <> t_idx")
-    r = q.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "h_idx", "t_idx"))).alias("r")).select("doc", F.transform("r", lambda x: F.struct(x["h_idx"].alias("h_idx"), x["t_idx"].alias("t_idx"), F.lit("P1").alias("r"), F.lit(None).cast("double").alias("score"))).alias("ent_relation"))
-    return s.drop("w").join(v, "doc", "left").join(r, "doc", "left")
+    return s.mapInArrow(run, f"doc {dict(s.dtypes)['doc']}, {_SECTIONS}")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

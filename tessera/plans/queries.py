@@ -15,7 +15,7 @@ from tessera.operators import kernel as K
 from tessera.operators import relational as R
 from tessera.operators import windows as X
 from tessera.plans import annotate as A
-from tessera.sources.tables import settle
+from tessera.sources.tables import dealt, settle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, *names: str):
-    out = [spark.read.parquet(f"{d}/{n}.parquet") for n in names]
+    # the texts are most of the work: a file of a single split is dealt out over all cores
+    out = [dealt(t) if n == "documents" else t for n in names for t in [spark.read.parquet(f"{d}/{n}.parquet")]]
     return out[0] if len(out) == 1 else out
 
 
@@ -70,10 +71,18 @@ simple as materialized (
 PAIRS = "pairs as (select doc_id as pair, doc_id as i, lead(doc_id) over (partition by lang, source order by doc_id) as j from documents qualify j is not null)"
 
 
+def _facts(spark, d):
+    """The graph of every document, one a row."""
+    return settle(G.facts(A.sections(_t(spark, d, "documents"))), "facts")
+
+
 def _graph(spark, d):
-    sections = settle(A.sections(_t(spark, d, "documents")), "sections")
-    nodes, edges = G.build_graph(sections)
-    return settle(nodes, "nodes"), settle(edges, "edges")
+    graphs = _facts(spark, d)
+    return G.nodes_of(graphs), G.edges_of(graphs)
+
+
+def _packed(spark, d):
+    return K.packed_facts(G.facts(A.sections(_t(spark, d, "documents"))))
 
 
 @query("g1_fact_graph_nodes", f"with {GRAPH} select doc, ord::bigint as ord, node, kind, name, wikidata from nodes")
@@ -91,20 +100,14 @@ def g2(spark, d):
     return _graph(spark, d)[1].groupBy("etype", "rel").agg(F.count("*").alias("n"))
 
 
-def _simple(spark, d):
-    nodes, edges = _graph(spark, d)
-    s = G.simple_graph(nodes, edges)
-    return nodes.select(F.col("doc").alias("g"), F.col("ord").alias("n"), F.col("name").alias("label")), settle(s.withColumnRenamed("doc", "g"), "simple")
-
-
-def _far(nodes, edges):
+def _far(packed, far=3):
     """Edges of all types, with shortest-path edges up to distance 3 and every missing self-loop."""
-    return G.shortest_paths(edges.withColumnRenamed("g", "doc"), 3, 1.0, nodes.select(F.col("g").alias("doc"), F.col("n").alias("u")))
+    return G.augment(packed, far, 1.0)
 
 
 @query("g4_simple_graph", f"with {GRAPH} select doc, u::bigint as u, v::bigint as v, etype from simple")
 def g4(spark, d):
-    return _long(_simple(spark, d)[1].withColumnRenamed("g", "doc"), "u", "v")
+    return _long(G.simple_of(_facts(spark, d)), "u", "v")
 
 
 @query(
@@ -158,7 +161,7 @@ def g8(spark, d):
     select doc, count(*) as n, sum(a)::bigint as su, sum(b)::bigint as sv from two group by doc""",
 )
 def g9(spark, d):
-    p = _far(*_simple(spark, d)).where("etype = 'shortest-path'")
+    p = G.edges_flat(_far(_packed(spark, d))).where("etype = 'shortest-path'")
     return p.groupBy("doc").agg(F.count("*").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"))
 
 
@@ -220,11 +223,13 @@ def g18(spark, d):
 
 # ---------------------------------------------------------------- kernels
 
-WL = """
-l0 as materialized (select doc, ord as n, md5(name) as label from nodes),
+#: Labels as the first 60 bits of MD5s.
+_LABEL = "('0x' || substr(md5({}), 1, 15))::bigint"
+WL = f"""
+l0 as materialized (select doc, ord as n, {_LABEL.format('name')} as label from nodes),
 near as (select doc, u as n, v as m from simple union all select doc, v, u from simple where u <> v),
-l1 as materialized (select l0.doc, l0.n, md5(l0.label || '|' || coalesce(a.around, '')) as label from l0 left join
-  (select near.doc, near.n, string_agg(label, ',' order by label) as around from near join l0 on l0.doc = near.doc and l0.n = near.m group by near.doc, near.n) a using (doc, n)),
+l1 as materialized (select l0.doc, l0.n, {_LABEL.format("l0.label || '|' || coalesce(a.around, 0) % 18446744073709551616::hugeint")} as label from l0 left join
+  (select near.doc, near.n, sum(label) as around from near join l0 on l0.doc = near.doc and l0.n = near.m group by near.doc, near.n) a using (doc, n)),
 lab as materialized (select doc, n, 0 as round, label from l0 union all select doc, n, 1, label from l1),
 fr as (select doc, round, label, count(*) as f from lab group by all),
 full_ as materialized (select lab.*, f from lab join fr using (doc, round, label))"""
@@ -236,8 +241,8 @@ allp as (select pair, i, j, 'k01' as which from pairs union all select distinct
 first_ as materialized (select p.which, p.pair, p.j, x.* from allp p join hist x on x.g = p.i),
 ent_ as materialized (select which, pair, etype, sum(sqrt(ei * ej) * {fa} * {fb}) as s from (
   select x.which, x.pair, x.etype, x.fa as xfa, x.fb as xfb, y.fa as yfa, y.fb as yfb,
-    case when x.a = x.b and x.fa > 1 and y.fa > 1 then 2 * x.weight / (x.fa * (x.fa - 1) * {cx}) else x.weight / (x.fa * x.fb * {cx}) end as ei,
-    case when x.a = x.b and x.fa > 1 and y.fa > 1 then 2 * y.weight / (y.fa * (y.fa - 1) * {cy}) else y.weight / (y.fa * y.fb * {cy}) end as ej
+    case when x.a = x.b and x.fa > 1 and y.fa > 1 then 2 * x.weight / (x.fa * (x.fa - 1) * {cx}) else 2 * x.weight / (x.fa * x.fb * {cx}) end as ei,
+    case when x.a = x.b and x.fa > 1 and y.fa > 1 then 2 * y.weight / (y.fa * (y.fa - 1) * {cy}) else 2 * y.weight / (y.fa * y.fb * {cy}) end as ej
   from first_ x join hist y on y.g = x.j and y.round = x.round and y.a = x.a and y.b = x.b and y.etype = x.etype) group by all)"""
 
 
@@ -266,26 +271,22 @@ _W = ", ".join(f"('{t}', {w}::double)" for t, w in K.WEIGHTS.items())
     f"with {GRAPH}, {WL} select doc as g, round::bigint as round, count(*) as n, count(distinct label) as n_labels, min(label) as first_label, max(label) as last_label from lab group by doc, round",
 )
 def k1(spark, d):
-    nodes, edges = _simple(spark, d)
-    return K.wl_labels(nodes, edges, 1).groupBy("g", F.col("round").cast("long").alias("round")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
+    return K.wl_labels(_packed(spark, d), 1).groupBy("g", F.col("round").cast("long").alias("round")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"), F.min("label").alias("first_label"), F.max("label").alias("last_label"))
 
 
 @query("k3_graph_kernel", _score_sql(_W))
 def k3(spark, d):
-    nodes, edges = _simple(spark, d)
-    return _r(K.score(nodes, edges, A.neighbours(_t(spark, d, "documents"))), "score")
+    return _r(K.score(_packed(spark, d), A.neighbours(_t(spark, d, "documents"))), "score")
 
 
 @query("k4_kernel_min", _score_sql(_W, minimum=True))
 def k4(spark, d):
-    nodes, edges = _simple(spark, d)
-    return _r(K.score(nodes, edges, A.neighbours(_t(spark, d, "documents")), frequency="min"), "score")
+    return _r(K.score(_packed(spark, d), A.neighbours(_t(spark, d, "documents")), frequency="min"), "score")
 
 
 @query("k2_kernel_v1", f"with {GRAPH}, {WL}, {PAIRS}, {_hist(typed=False, per_type=False)} select p.pair, round(coalesce(sum(s), 0), 6) as score from pairs p left join ent_ e on e.pair = p.pair and e.which = 'k01' group by p.pair")
 def k2(spark, d):
-    nodes, edges = _simple(spark, d)
-    return _r(K.first_version(nodes, edges, A.neighbours(_t(spark, d, "documents"))), "score")
+    return _r(K.first_version(_packed(spark, d), A.neighbours(_t(spark, d, "documents"))), "score")
 
 
 GRID = [(f"{a:g},{b:g},{c:g},{e:g}", {"token-token": a, "token-mention": b, "mention-entity": c, "entity-entity": e}) for a in (0.0, 1.0) for b in (0.0, 2.0) for c in (0.5, 1.0) for e in (0.0, 1.0)]
@@ -293,8 +294,7 @@ GRID = [(f"{a:g},{b:g},{c:g},{e:g}", {"token-token": a, "token-mention": b, "men
 
 @query("k13_weight_sweep", _score_sql(", ".join(f"('{n}', '{t}', {v}::double)" for n, w in GRID for t, v in w.items()), "vector"))
 def k13(spark, d):
-    nodes, edges = _simple(spark, d)
-    parts = K.entries(K.histogram(K.wl_labels(nodes, edges, 1), edges), A.neighbours(_t(spark, d, "documents")))
+    parts = K.entries(K.histograms(_packed(spark, d)), A.neighbours(_t(spark, d, "documents")))
     w = spark.createDataFrame([(n, t, v) for n, x in GRID for t, v in x.items()], "vector string, etype string, w double")
     return _r(K.weigh(parts, w, ["vector"]), "score")
 
@@ -309,11 +309,9 @@ def k14(spark, d):
 
 @query("k6_kernel_shortest_path")
 def k6(spark, d):
-    nodes, edges = _simple(spark, d)
-    e = settle(_far(nodes, edges).withColumnRenamed("doc", "g"), "far")
-    hist = K.histogram(K.wl_labels(nodes, e, 1), e)
-    parts = K.entries(hist, A.neighbours(_t(spark, d, "documents")))
-    return _r(K.weigh(parts, K.weight_table(spark, {**K.WEIGHTS, "shortest-path": 0.1})), "score")
+    """The variant with shortest paths has no own entries, so K01 itself is given."""
+    weights = {**K.WEIGHTS, "shortest-path": 0.1}
+    return _r(K.score(_far(_packed(spark, d)), A.neighbours(_t(spark, d, "documents")), weights=weights, frequency="min", normalise="none"), "score")
 
 
 @query(
@@ -328,10 +326,12 @@ def k6(spark, d):
       from met group by pair, a, b) group by pair""",
 )
 def k7(spark, d):
-    nodes, edges = _simple(spark, d)
+    graphs = _facts(spark, d)
+    nodes = G.nodes_of(graphs).select(F.col("doc").alias("g"), F.col("ord").alias("n"), F.col("name").alias("label"))
+    edges = G.simple_of(graphs).withColumnRenamed("doc", "g")
     emb = _t(spark, d, "embeddings")
     m = emb.agg(F.count("*").alias("m"))
-    names = nodes.where("label like 'i:%'").join(F.broadcast(m))  # one row
+    names = nodes.where("label like 'i:%'").join(m)  # one row
     vec = names.withColumn("vec_id", F.expr("cast(substring(label, 3) as bigint) % m")).join(emb.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vec_id").select("g", "n", "embedding")
     e = edges.where("etype = 'entity-entity'")
     e = e.join(nodes.select("g", F.col("n").alias("u"), F.col("label").alias("a")), ["g", "u"]).join(nodes.select("g", F.col("n").alias("v"), F.col("label").alias("b")), ["g", "v"])
