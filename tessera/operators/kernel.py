@@ -31,7 +31,9 @@ SECOND_WEIGHTS = {"token-token": 0.0, "token-mention": 2.0, "mention-entity": 3.
 TINY = 1e-12
 
 PACKED = "n array<bigint>, label array<string>, u array<bigint>, v array<bigint>, etype array<string>, weight array<double>"
-HISTOGRAM = "round array<int>, a array<bigint>, b array<bigint>, t array<int>, edges array<bigint>, weight array<double>, fa array<bigint>, fb array<bigint>, ct array<bigint>, types array<string>"
+#: Keys of a histogram in one row; a graph with more has several rows, and its pairs are compared by a join of keys.
+ROW_KEYS = 1 << 20
+HISTOGRAM = "parts int, round array<int>, a array<bigint>, b array<bigint>, t array<int>, edges array<bigint>, weight array<double>, fa array<bigint>, fb array<bigint>, ct array<bigint>, types array<string>"
 
 
 def pack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,19 +115,19 @@ def wl_labels(packed: DataFrame, rounds: int, use_labels: bool = True) -> DataFr
     return packed.mapInArrow(run, f"g {dict(packed.dtypes)['g']}, n bigint, round int, label bigint")
 
 
-def histograms(packed: DataFrame, rounds: int = 1, typed: bool = True, use_labels: bool = True) -> DataFrame:
-    """(g, round, a, b, t, edges, weight, fa, fb, ct, types): for every key (round, labels a and b of the ends in node order, type
+def histograms(packed: DataFrame, rounds: int = 1, typed: bool = True, use_labels: bool = True, row_keys: int = ROW_KEYS) -> DataFrame:
+    """(g, parts, round, a, b, t, edges, weight, fa, fb, ct, types), a graph in ``parts`` rows: for every key (round, labels a and b of the ends in node order, type
     types[t]) of a graph the number and weight of its edges, how often its labels occur in the graph, and the number of edges of its type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in A.slices(batch, "n"):
-                yield _histogram(_Batch(part, rounds, use_labels), typed)
+                yield _histogram(_Batch(part, rounds, use_labels), typed, row_keys)
 
     return packed.mapInArrow(run, f"g {dict(packed.dtypes)['g']}, {HISTOGRAM}")
 
 
-def _histogram(x: _Batch, typed: bool) -> pa.RecordBatch:
+def _histogram(x: _Batch, typed: bool, row_keys: int) -> pa.RecordBatch:
     coded = (pc.fill_null(x.etype, "") if typed else pa.array(["edge"] * len(x.u), pa.string())).dictionary_encode()
     names, t = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     many = max(1, len(names))
@@ -142,11 +144,15 @@ def _histogram(x: _Batch, typed: bool) -> pa.RecordBatch:
         parts.append((x.erow[at], np.full(len(at), r), label[x.u[at]], label[x.v[at]], own_t[t_back[at]], n, np.bincount(back, x.weight, minlength=len(at)), f[group[x.u[at]]], f[group[x.v[at]]], ct[t_back[at]]))
     row, *cols = (np.concatenate(c) for c in zip(*parts))
     order = np.argsort(row, kind="stable")
-    size = np.bincount(row, minlength=x.rows)
+    n = np.bincount(row, minlength=x.rows)
+    parts = np.maximum(1, -(-n // row_keys))
+    of, sorted_ = np.repeat(np.arange(x.rows), parts), row[order]
+    place = np.arange(len(row)) - A.first_of(n)[sorted_]
+    size = np.bincount(A.first_of(parts)[sorted_] + place * parts[sorted_] // n[sorted_], minlength=len(of))
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
     lists = [A.nested(size, pa.array(c[order], k)) for c, k in zip(cols, kinds)]
-    types = A.nested(n_types, pa.array([names[k] for k in (pair % many).tolist()], pa.string()))
-    return pa.RecordBatch.from_arrays([x.g, *lists, types], ["g", "round", "a", "b", "t", "edges", "weight", "fa", "fb", "ct", "types"])
+    types = A.nested(n_types, pa.array([names[k] for k in (pair % many).tolist()], pa.string())).take(pa.array(of))
+    return pa.RecordBatch.from_arrays([x.g.take(pa.array(of)), pa.array(parts[of], pa.int32()), *lists, types], ["g", "parts", "round", "a", "b", "t", "edges", "weight", "fa", "fb", "ct", "types"])
 
 
 def flat(hists: DataFrame) -> DataFrame:
@@ -239,11 +245,31 @@ def _compare(frequency: str, per_type: bool):
 
 
 def entries(hists: DataFrame, pairs: DataFrame, frequency: str = "second", per_type: bool = True) -> DataFrame:
-    """(pair, etype, k01, k00, k11) for pairs(pair, i, j) of graphs with histograms; a pair without edges has one row of zeros, of type ''."""
-    hists = settle(hists, "histograms")  # both sides of every pair read it
-    side = lambda s, g: hists.select(F.col("g").alias(g), *[F.col(c).alias(c + s) for c in (*_KEYS, "types")])
-    both = pairs.select("pair", "i", "j").join(side("_i", "i"), "i", "left").join(side("_j", "j"), "j", "left").drop("i", "j")
-    return both.mapInArrow(_compare(frequency, per_type), f"pair {dict(pairs.dtypes)['pair']}, etype string, k01 double, k00 double, k11 double")
+    """(pair, etype, k01, k00, k11) for pairs(pair, i, j) of graphs with histograms; a pair without edges has one row of zeros, of type ''.
+
+    A pair's histograms meet in one row. Pairs with a graph of several rows are compared by joins of keys instead.
+    """
+    hists, pairs = settle(hists, "histograms", 8 << 20), pairs.select("pair", "i", "j")
+    large = hists.where("parts > 1").select("g").distinct()
+    schema = f"pair {dict(pairs.dtypes)['pair']}, etype string, k01 double, k00 double, k11 double"
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        side = lambda s, g: hists.select(F.col("g").alias(g), *[F.col(c).alias(c + s) for c in (*_KEYS, "types")])
+        both = pairs.join(side("_i", "i"), "i", "left").join(side("_j", "j"), "j", "left").drop("i", "j")
+        return both.mapInArrow(_compare(frequency, per_type), schema)
+
+    if not large.limit(1).count():
+        return compared(pairs)
+    rest = pairs.join(large.withColumnRenamed("g", "i"), "i", "left_anti").join(large.withColumnRenamed("g", "j"), "j", "left_anti")
+    over = pairs.join(rest.select("pair"), "pair", "left_anti")
+    ends = over.select(F.explode(F.array("i", "j")).alias("g")).distinct()
+    rows = flat(hists.join(ends, "g", "left_semi"))
+    how = {"frequency": frequency, "per_type": per_type}
+    own = shares(rows, ends.select(F.col("g").alias("pair"), F.col("g").alias("i"), F.col("g").alias("j")), **how).withColumnRenamed("pair", "g")
+    kinds = over.join(own.select(F.col("g").alias("i"), "etype"), "i").unionByName(over.join(own.select(F.col("g").alias("j"), "etype"), "j")).distinct()
+    side = lambda c, g: own.select(F.col("g").alias(g), "etype", F.col("s").alias(c))
+    out = kinds.join(shares(rows, over, **how).withColumnRenamed("s", "k01"), ["pair", "etype"], "left").join(side("k00", "i"), ["i", "etype"], "left").join(side("k11", "j"), ["j", "etype"], "left")
+    return compared(rest).unionByName(out.select("pair", "etype", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("k01", "k00", "k11")]))
 
 
 def weigh(parts: DataFrame, weights: DataFrame, key: list[str] | None = None, normalise: str = "cosine", only: tuple[str, ...] | None = None) -> DataFrame:

@@ -73,7 +73,7 @@ PAIRS = "pairs as (select doc_id as pair, doc_id as i, lead(doc_id) over (partit
 
 def _facts(spark, d):
     """The graph of every document, one a row."""
-    return settle(G.facts(A.sections(_t(spark, d, "documents"))), "facts")
+    return settle(G.facts(A.sections(_t(spark, d, "documents"))), "facts", 8 << 20)
 
 
 def _graph(spark, d):

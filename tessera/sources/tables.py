@@ -28,12 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return "file:///tmp/checkpoints/tessera"
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+def settle(df: DataFrame, name: str = "t", group: int | None = None) -> DataFrame:
     """Writes a table that several later steps read, and reads it back: it is made once, its lineage is cut, and a lost executor
-    loses nothing. The files go at the end of the ``scratch`` around the call, else when the session's Python process ends."""
+    loses nothing. The files go at the end of the ``scratch`` around the call, else when the session's Python process ends.
+
+    ``group``: bytes of a row group, for wide rows; a reader holds up to 4,096 rows of one group at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    options = {} if group is None else {"parquet.block.size": group, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 100}
+    df.write.options(**options).parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
