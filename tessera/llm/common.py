@@ -1,63 +1,37 @@
-"""Shared helpers: session settings, written intermediate tables, size-checked joins."""
+"""Shared helpers: reading, written intermediate tables, names that cannot clash, keys of any type."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only after a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 50_000
-#: Salts of the other way, when the small side is larger than that.
-SALTS = 16
+from tessera.sources.tables import BROADCAST_ROWS, dealt, lookup_join, scratch, settle
 
-_written: list[tuple[SparkSession, str]] = []
+__all__ = ["BROADCAST_ROWS", "dealt", "free_names", "lookup_join", "read", "real_key", "scratch", "settle", "typed_key"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return at or "file:///tmp/checkpoints/tessera"
-
-
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
-
-    The files go when the session's Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the session is already gone
-            return
 
+def free_names(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-def lookup_join(left: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join ``left`` with a per-key table.
 
-    The table is counted first: up to BROADCAST_ROWS rows it is broadcast, beyond that the join is
-    salted, so that a key with a third of all rows is still spread over SALTS tasks. ``how``: inner or left.
-    """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(small), key, how)
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+def typed_key(key: str) -> Column:
+    """A key of any type as a struct whose order is that of the key, null first."""
+    return F.struct(F.col(key).isNotNull().alias("is"), F.col(key).alias("key"))
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def real_key(typed: Column | str) -> Column:
+    """The key back from ``typed_key``."""
+    return (F.col(typed) if isinstance(typed, str) else typed)["key"]

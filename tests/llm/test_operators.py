@@ -129,9 +129,20 @@ def test_neardup_large_groups_are_dealt_in_blocks(spark):
     assert [r["doc_id"] for r in neardup.first_of_each(d).collect()] == [0]
 
 
-def test_depth_meets_the_target():
-    k = neardup.depth()
-    assert 1 - (1 - 0.8**k) ** neardup.TREES >= neardup.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** neardup.TREES
+def test_prefixes_shorten_until_the_recall_is_reached(spark, monkeypatch):
+    # 100 pairs in all trees and 4 in the fewest that a link is expected in: those stand for more
+    few = round(neardup.TREES * 0.8**neardup.DEPTH)
+    assert neardup.measured({neardup.TREES: 100}, neardup.DEPTH, 0.8, neardup.TREES) == 1
+    assert neardup.measured({few: 4, 1: 1000}, neardup.DEPTH, 0.8, neardup.TREES) == pytest.approx(neardup.found_with(few, neardup.TREES))
+    asked = []
+
+    def stars(classes, depth):
+        asked.append(depth)
+        return spark.createDataFrame([(0, 0, 1, 1, 24 - 4 * len(asked) if len(asked) < 3 else 24)], "u1 bigint, u2 bigint, v1 bigint, v2 bigint, m int")
+
+    monkeypatch.setattr(neardup, "stars", stars)
+    monkeypatch.setattr(neardup, "measured", lambda shared, *_: min(shared) / 24)
+    assert neardup.forest(None, target=1.0)[1:] == (neardup.DEPTH - 2, 1.0) and asked == [neardup.DEPTH - k for k in range(3)]
 
 
 def brute_removed(texts):
