@@ -1,15 +1,17 @@
 """Sharding by histogram sort: exact bytes below candidate boundaries, refined until splitters fit, one exchange.
 
-Rows have the key (hash of the text, doc_id), so equal texts lie side by side, yet a group of copies with a third
-of all rows still has boundaries inside. Each round counts, in one aggregation over the whole table, the bytes
-between candidate keys; only those counts (splitters x probes) reach the driver. Probes then close in on the
-keys around each target, until the bytes below each splitter are within the tolerance. Rows move once.
+Rows have the key (hash of the text, number of the doc_id), so equal texts lie side by side, yet a group of copies with a third
+of all rows still has boundaries inside. A whole-number doc_id is its own number; of other types it is a hash. Each round
+counts, in one aggregation over the whole table, the bytes between candidate keys; only those counts (splitters x probes) reach the
+driver. Probes then close in on the keys around each target, until the bytes below each splitter are within the tolerance, or no
+key is left between its candidates. Rows move once, to tasks by ranges of keys, are sorted there, and their places in the
+tasks and the counts of the tasks before give the slots, so a shard is in key order.
 
 Law ``bytes``: the size of a row is its text's UTF-8 bytes plus 1, and shards get sizes near equal.
 
 Defined results: a null text has size 1 and its own hash; an empty text has size 1; rows with equal text and doc_id
-have one key and stay in one shard; null doc_ids come first; an empty table gives an empty result; the columns
-``_size``, ``_hash``, ``_shard``, ``_bin`` and ``_slot`` replace any of the same name.
+have one key and stay in one shard; null doc_ids come first among equal texts; an empty table gives an empty result; columns of
+the input named ``_size``, ``_shard`` or ``_slot`` are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read, settle
+from tessera.llm.common import free_names, read, settle
 
 SHARDS = 8
 #: Allowed distance of the bytes below a splitter from its target, as a part of one shard. A splitter also ends when a
 #: single key lies between its candidates: no boundary does better then.
 TOLERANCE = 0.002
 PROBES = 16
-ROUNDS = 40
-#: Rows of a shard are numbered within bins of about so many rows, of which a shard has BINS at most.
-BIN_ROWS, BINS = 5_000, 4_096
+#: A key is a number of 128 bits and each round leaves a splitter a sixteenth of its range: more rounds than that mean a fault.
+ROUNDS = 200
+#: Bytes of rows that one task sorts.
+TASK_BYTES = 128 << 20
 
 _LOW = (-(1 << 63), -(1 << 63))
 _HIGH = ((1 << 63) - 1, (1 << 63) - 1)
@@ -57,7 +60,7 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
         open_ = [k for k in range(len(goals)) if best[k][0] > slack]
         cuts = sorted({c for k in open_ for c in _between(low[k], high[k], probes)})
         if not cuts:
-            break
+            break  # every open splitter has a single key at its target
 
         def place(a: int, b: int) -> Column:
             """Binary search: log2(cuts) comparisons a row."""
@@ -89,36 +92,41 @@ def splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANC
                     if below <= goals[k] < below + n:
                         low[k], high[k] = max(low[k], least), min(high[k], most)
                 below += n
+    else:
+        raise RuntimeError(f"splitters are not settled after {ROUNDS} rounds")
     return [b for _, b in best], total, rows
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, keep: bool = True) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, keep: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Every row of ``docs`` with ``_size``, ``_shard`` and ``_slot`` (from 0 without gaps in each shard).
 
-    ``keep``: with all columns; else only key, size and hash move.
+    ``keep``: with all columns; else the text does not move.
     """
-    sized = docs.withColumn("_size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).withColumn("_hash", F.xxhash64(text))
-    sized = sized.withColumn("_id", F.coalesce(F.col(key).cast("long"), F.lit(_LOW[0])))
+    docs = docs.drop("_size", "_shard", "_slot")
+    h, i, task, place_ = free_names(docs, ["_hash", "_id", "_task", "_place"])
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    number = F.coalesce(F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.lit(_LOW[0]))
+    sized = docs.withColumns({"_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, h: F.xxhash64(text), i: number})
     if not keep:
         sized = settle(sized.drop(text), "keys")
-        keys = sized
-    else:
-        keys = settle(sized.select("_hash", "_id", "_size"), "keys")
-    cuts, _, rows = splitters(keys, shards, tolerance)
-    place = sum((F.when(_below(F.col("_hash"), F.col("_id"), c), 0).otherwise(1) for c in cuts), F.lit(0))
-    bins = max(1, min(BINS, -(-rows // (shards * BIN_ROWS))))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_shard", place.cast("int")).withColumn("_bin", F.pmod(F.xxhash64("_id", "_hash"), F.lit(bins)).cast("int"))
-
-    # at most shards x BINS rows: the counts say where each bin's slots begin
-    counts = placed(keys).groupBy("_shard", "_bin").agg(F.count("*").alias("_n"))
-    starts = counts.select(
-        "_shard", "_bin", F.coalesce(F.sum("_n").over(Window.partitionBy("_shard").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start")
-    )
-    moved = placed(sized).join(F.broadcast(settle(starts, "starts")), ["_shard", "_bin"])
-    slot = F.col("_start") + F.row_number().over(Window.partitionBy("_shard", "_bin").orderBy("_hash", "_id")) - 1
-    return moved.withColumn("_slot", slot.cast("long")).drop("_start", "_bin", "_hash", "_id")
+    keys = sized.select(F.col(h).alias("_hash"), F.col(i).alias("_id"), "_size")
+    cuts, total, _ = splitters(keys if not keep else settle(keys, "keys"), shards, tolerance)
+    shard_of = sum((F.when(_below(F.col(h), F.col(i), c), 0).otherwise(1) for c in cuts), F.lit(0)).cast("int")
+
+    # the one exchange: ranges of keys, from a sample, decide only how even the tasks are
+    tasks = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // task_bytes))
+    placed = sized.repartitionByRange(tasks, h, i).sortWithinPartitions(h, i)
+    # an id counts from 0 in each task, in its lower 33 bits
+    placed = placed.withColumns({"_shard": shard_of, task: F.spark_partition_id(), place_: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed = settle(placed.drop(h, i), "placed")
+    # one row for each task and shard: where its rows begin in the shard
+    counts = placed.groupBy("_shard", task).agg(F.count("*").alias("n"), F.min(place_).alias("least"))
+    before = Window.partitionBy("_shard").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    offset = (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).cast("long")
+    starts = settle(counts.select(F.col("_shard").alias("s"), F.col(task).alias("t"), offset.alias("o")), "starts")
+    # at most tasks + shards rows, and a task's rows lie together
+    out = placed.join(F.broadcast(starts), (F.col("_shard") == F.col("s")) & (F.col(task) == F.col("t")))
+    return out.withColumn("_slot", F.col("o") + F.col(place_)).select([c for c in placed.columns if c not in (task, place_)] + ["_slot"])
 
 
 def op5_sharding(spark, sf_dir):
