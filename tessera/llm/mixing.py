@@ -9,8 +9,8 @@ document in the one pass that sums, and each source uses the seed whose copies c
 
 Defined results: a null text has no token and is emitted like any other document; a null source is a source
 of its own, last in order; sources without any token have target 0 and rate 0; rows that repeat draw alike; an
-empty table gives an empty result; columns whose names clash with the operator's (``_size``, ``_source_size``,
-``_target``, ``_rate``, ``_copies``) are replaced. Texts of any length are counted whole.
+empty table gives an empty result; columns of the input named ``_size``, ``_source_size``, ``_target``, ``_rate`` or ``_copies``
+are replaced, all others stay; keys of any type draw by their text. Texts of any length are counted whole.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup_join, read, settle
+from tessera.llm.common import free_names, lookup_join, read, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -72,8 +72,7 @@ def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = B
 
     Sums are made per task before rows move, so a source with a third of all rows is no hot key.
     """
-    rates = targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, budget, most)
-    rates = settle(rates, "rates")
+    rates = settle(targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, budget, most), "rates")
     drawn = lookup_join(sized, rates.select("source_key", "rate"), "source_key").withColumn("part", F.col("rate") - F.floor("rate"))
     taken = drawn.groupBy("source_key").agg(
         F.array(*[F.sum(F.when(draw(F.col("key"), k) < F.col("part"), F.col("size")).otherwise(0)) for k in range(seeds)]).alias("extra")
@@ -82,27 +81,32 @@ def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = B
     return rates.join(taken, "source_key").select("source_key", "source_size", "target", "rate", F.array_min(off)["seed"].alias("seed"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """Every row of ``docs`` with ``_size``, ``_source_size``, ``_target``, ``_rate`` and ``_copies``."""
-    sized = docs.withColumn("_size", words(F.col(text))).withColumn("_key", F.coalesce(F.col(source), F.lit(_NULL)))
-    skinny = settle(sized.select(F.col(key).alias("key"), F.col("_key").alias("source_key"), F.col("_size").alias("size")), "sizes")
-    p = settle(plan(skinny, **how), "plan").select(
-        F.col("source_key").alias("_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.col("seed").alias("_seed")
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", keep: bool = True, **how) -> DataFrame:
+    """Every row of ``docs`` with ``_size``, ``_source_size``, ``_target``, ``_rate`` and ``_copies``. ``keep``: with all columns; else without the text."""
+    docs = docs.drop("_size", "_source_size", "_target", "_rate", "_copies")
+    at, seed = free_names(docs, ["_source_key", "_seed"])
+    sized = docs.withColumns({"_size": words(F.col(text)), at: F.coalesce(F.col(source).cast("string"), F.lit(_NULL))})
+    if not keep:  # the words are then counted once
+        sized = settle(sized.drop(text), "sized")
+    skinny = sized.select(F.col(key).alias("key"), F.col(at).alias("source_key"), F.col("_size").alias("size"))
+    p = settle(plan(skinny if not keep else settle(skinny, "sizes"), **how), "plan").select(
+        F.col("source_key").alias(at), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"), F.col("seed").alias(seed)
     )
-    extra = F.when(draw(F.col(key), F.col("_seed")) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return lookup_join(sized, p, "_key").withColumn("_copies", (F.floor("_rate") + extra).cast("int")).drop("_key", "_seed")
+    extra = F.when(draw(F.col(key), F.col(seed)) < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
+    return lookup_join(sized, p, at).withColumn("_copies", (F.floor("_rate") + extra).cast("int")).drop(at, seed)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each row ``_copies`` times, without the operator's columns."""
-    rows = mixed.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.drop("_copy", "_size", "_source_size", "_target", "_rate", "_copies")
+    (copy,) = free_names(mixed, ["_copy"])
+    rows = mixed.where("_copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.drop(copy, "_size", "_source_size", "_target", "_rate", "_copies")
 
 
 def op10_mixing(spark, sf_dir):
     """All documents with the words that the mix takes of each."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select(
+    return mix(docs, keep=False).select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken")
     )
 
