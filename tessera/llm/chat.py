@@ -9,14 +9,14 @@ others are marked. Topological order: an event comes after what it needs (a resu
 it refers to). ``level`` is the longest way from an event that needs nothing, ``due`` the greatest turn on such ways, so that
 order by (due, level, turn, place) keeps the dialogue's order wherever needs allow. Levels are found by rounds of joins
 over the calls with references alone, until a round finds none; chains of calls with one reference each are shortened by
-doubling first. Positions come from counts of blocks of turns, so that even a
-conversation with a third of all messages is numbered in many tasks.
+doubling first. Positions come from counts of blocks of turns, and within these of parts by a hash of the event, so that even a
+conversation with a third of all messages, or a single turn with so many, is numbered in many tasks.
 
 Defined results: a null conversation is a conversation of its own; a null turn comes first, as turn -1; a null role is
 ``unknown``; null text gives content null, empty text content ""; text that is no such JSON object is plain; a call without an id
 cannot be linked (``no_id``); an unknown tool, arguments that are no object or do not fit the schema are marked invalid with the first
-reason; references to unknown calls do not hold an event up; events in or behind a cycle of references have level null,
-status ``cycle``, and come at their turn after the others; rows that repeat are events of their own; an empty table gives an empty
+reason; references to unknown calls do not hold an event up; events in or behind a cycle of references, a call that refers to itself
+among them, have level null, status ``cycle``, and come at their turn after the others; rows that repeat are events of their own; an empty table gives an empty
 result; further columns of the input are not carried. Texts are read whole.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator, Mapping
 from functools import reduce
 
@@ -35,6 +36,8 @@ from tessera.llm.common import read, settle
 
 #: Turns that are numbered together.
 BLOCK = 64
+#: Bits of the hash that part the events of a turn.
+PART_BITS = 8
 
 #: The tools that ``op8_chat_formatting`` knows.
 TOOLS = {
@@ -43,12 +46,21 @@ TOOLS = {
     "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}, "digits": {"type": "integer", "minimum": 0}}},
 }
 
+_LONE = re.compile("[\ud800-\udfff]")
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
 def canonical(x: object) -> str:
-    """Keys in order, no white space, whole-number floats as integers, no NaN."""
-    return json.dumps(_plain(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """Keys in order, no white space, whole-number floats as integers, no NaN; surrogates without their other half stay escaped."""
+    return _encodable(json.dumps(_plain(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def _encodable(x: str) -> str:
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", x)
+
+
+def _ident(x: object) -> str | None:
+    return None if x in (None, "") else _encodable(str(x))
 
 
 def _plain(x: object) -> object:
@@ -94,14 +106,14 @@ def mismatch(x: object, schema: Mapping, at: str = "$") -> str | None:
 
 def _is(x: object, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return isinstance(x, (int, float)) and not isinstance(x, bool) and (kind == "number" or float(x).is_integer())
+        return isinstance(x, (int, float)) and not isinstance(x, bool) and (kind == "number" or isinstance(x, int) or x.is_integer())
     return isinstance(x, _KINDS[kind])
 
 
 def _refs(x: object) -> list[str]:
     if isinstance(x, dict):
         if set(x) == {"$ref"}:
-            return [str(x["$ref"])]
+            return [_encodable(str(x["$ref"]))]
         return [r for k in sorted(x) for r in _refs(x[k])]
     return [r for v in x for r in _refs(v)] if isinstance(x, list) else []
 
@@ -123,14 +135,20 @@ def _object(text: str | None, role: str) -> dict | None:
 
 def events_of(role: str, text: str | None, tools: Mapping[str, Mapping]) -> list[tuple]:
     """(kind, id, refs, problem, json) of one message."""
-    x = _object(text, role)
+    try:
+        return _events_of(_object(text, role), role, text, tools)
+    except RecursionError:
+        return _events_of(None, role, text, tools)
+
+
+def _events_of(x: dict | None, role: str, text: str | None, tools: Mapping[str, Mapping]) -> list[tuple]:
     if x is not None and role == "assistant" and isinstance(x.get("tool_calls"), list) and x["tool_calls"]:
         out = []
         if x.get("content") not in (None, ""):
             out.append(("text", None, [], None, canonical({"role": role, "content": x["content"]})))
         for call in x["tool_calls"]:
             call = call if isinstance(call, dict) else {}
-            ident = None if call.get("id") in (None, "") else str(call["id"])
+            ident = _ident(call.get("id"))
             args = call.get("arguments")
             if isinstance(args, str):  # arguments may come as a JSON text
                 try:
@@ -140,10 +158,10 @@ def events_of(role: str, text: str | None, tools: Mapping[str, Mapping]) -> list
                     args = call["arguments"]
             name = str(call.get("name"))
             why = "unknown tool" if name not in tools else "$: type" if not isinstance(args, dict) else mismatch(args, tools[name])
-            out.append(("call", ident, sorted(set(_refs(args)) - {ident}), why, canonical({"role": role, "tool_call": {"id": ident, "name": name, "arguments": args}})))
+            out.append(("call", ident, sorted(set(_refs(args))), why and _encodable(why), canonical({"role": role, "tool_call": {"id": ident, "name": name, "arguments": args}})))
         return out
     if x is not None and role == "tool" and "tool_call_id" in x:
-        ident = None if x["tool_call_id"] in (None, "") else str(x["tool_call_id"])
+        ident = _ident(x["tool_call_id"])
         return [("result", ident, [], None, canonical({"role": role, "tool_call_id": ident, "content": x.get("content")}))]
     return [("text", None, [], None, canonical({"role": role, "content": text}))]
 
@@ -248,18 +266,38 @@ def link(messages: DataFrame, tools: Mapping[str, Mapping] = TOOLS, conv: str =
     plain = events.where("call_id is null").select("*", F.when(F.col("kind") == "text", "text").otherwise("no_id").alias("status"), F.col("turn").alias("due"), F.lit(0).alias("level"))
     cols = ["conv", "turn", "role", "place", "kind", "call_id", "status", "problem", "due", "level", "json", "h"]
     out = linked.select(cols).unionByName(plain.select(cols)).withColumn("block", F.floor(F.col("due") / BLOCK))
-    out = settle(out, "placed")
-
-    # one row for each conversation and block of turns: where the block's positions begin
-    counts = out.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("conv", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    order = Window.partitionBy("conv", "block").orderBy("due", F.col("level").asc_nulls_last(), "turn", "place", "role", "h")
-    out = out.join(starts, ["conv", "block"]).withColumn("position", F.col("start") + F.row_number().over(order) - 1)
+
+    # where positions begin: one row for each conversation and block of turns, then one for each group of equal order and part of its hashes
+    out = settle(out.withColumn("part", F.shiftright("h", 64 - PART_BITS)), "placed")
+    group = [F.col("due"), F.col("level").asc_nulls_last(), F.col("turn"), F.col("place"), F.col("role"), F.col("part")]
+    cells = settle(out.groupBy("conv", "block", "due", "level", "turn", "place", "role", "part").agg(F.count("*").alias("n")), "cells")
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = cells.groupBy("conv", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select("conv", "block", so_far(Window.partitionBy("conv").orderBy("block")).alias("first"))
+    cells = cells.withColumn("start", so_far(Window.partitionBy("conv", "block").orderBy(*group))).join(blocks, ["conv", "block"])
+    cells = cells.select(F.xxhash64("conv", *group[:1], "level", *group[2:]).alias("cell"), *[F.col(c).alias(f"_{c}") for c in ("conv", "due", "level", "turn", "place", "role", "part")], (F.col("first") + F.col("start")).alias("start"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("conv", "due", "level", "turn", "place", "role", "part")])
+    out = out.join(cells, same & (F.xxhash64("conv", "due", "level", "turn", "place", "role", "part") == F.col("cell")))
+    within = Window.partitionBy("cell", "_conv", "_due", "_level", "_turn", "_place", "_role", "_part").orderBy("h")
+    out = out.withColumn("position", F.col("start") + F.row_number().over(within) - 1)
     return out.select(F.when(F.col("conv") != "\x00", F.col("conv")).alias("conv"), "turn", "role", "place", "kind", "call_id", "status", "problem", "due", "level", "position", "json")
 
 
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """All messages as they are, and messages of tools made of them: an assistant's text is the query of a call, or waits for the result
+    of the last assistant's call; a later user's text is the result of the call of the turn before."""
+    c = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    ref = F.struct(name(F.col("turn") - 2).alias("$ref"))
+    query = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("query")))
+    args = F.when(F.col("turn") > 1, F.to_json(F.struct(ref.alias("url")))).otherwise(query)
+    call = F.to_json(F.struct(F.array(F.struct(name(F.col("turn")).alias("id"), F.when(F.col("turn") > 1, "fetch").otherwise("search").alias("name"), args.alias("arguments"))).alias("tool_calls")))
+    result = F.to_json(F.struct(name(F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    calls = c.where("role = 'assistant'").select("conv_id", "turn", "role", call.alias("text"))
+    return c.unionByName(calls).unionByName(c.where("role = 'user' and turn > 1").select("conv_id", "turn", F.lit("tool").alias("role"), result.alias("text")))
+
+
 def op8_chat_formatting(spark, sf_dir):
-    """All conversations as ordered events of canonical JSON."""
-    out = link(read(spark, sf_dir, "conversations"))
+    """All conversations, with calls and results made of their texts, as ordered events of canonical JSON."""
+    out = link(with_calls(read(spark, sf_dir, "conversations")))
     return out.select(F.col("conv").cast("long").alias("conv_id"), "turn", "position", "kind", "call_id", "status", "problem", "level", "json", F.sha2("json", 256).alias("json_sha256"))
