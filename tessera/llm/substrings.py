@@ -5,20 +5,23 @@ document) is removed; strings are judged on the input and never cross documents.
 
 A suffix array of all positions would move eight bytes for every byte of text, so the initial q-gram buckets are made on
 a sample that loses nothing: in each window of LENGTH bytes the q-gram of least hash is its anchor, and equal windows have
-equal anchors. Neighbouring windows with one anchor form a run. (1) Runs go to their anchor's bucket as hashes. In a
-bucket, runs of equal content repeat the earliest one wholly; a bucket of a single content is done. (2) Only for the
+equal anchors. Neighbouring windows with one anchor form a run. (1) Runs go to their anchor's bucket as hashes; of equal runs in one
+batch of texts only the earliest goes, as the others repeat it. In a bucket, runs of equal content repeat the earliest one wholly; a bucket of a
+single content is done. An anchor with a large part of all runs (a line in very many documents) would be a hot bucket of as many
+contents as the line has neighbours: its runs are taken apart to windows, each in the bucket of its own hash. Which anchors are, is counted
+on every SIXTEENTH document by SLOTS of anchors' hashes; it decides only how work is dealt, not what is found. (2) Only for the
 other buckets is content fetched, once for each distinct content. There windows are refined as in bucket-pointer
 refinement: positions start in buckets of their 8-gram, and are refined by sorting on the bucket identifiers of later
 offsets (8, 16, 32, then 36 for 100 bytes), each round reusing the identifiers that the last one has updated, and
 dropping positions that are alone. What is left together is equal byte for byte, and all but its earliest place repeats.
 (3) Repeated places go back to their documents.
 
-Rows move as packed arrays: anchors by bucket, texts by document. Both deal by hash, and the anchors of a document lie in
-many buckets, so a group of copies, or a passage in very many documents, is spread out.
+Rows move as packed arrays: anchors by bucket, texts by document, each in parts of about PART_BYTES; a task takes many parts, one after the
+other. Both deal by hash, and the anchors of a document lie in many buckets, so a group of copies, or a passage in very many documents, is spread out.
 
 Defined results: null and empty texts have nothing to remove; texts under LENGTH bytes are kept whole; rows that repeat wholly
 (doc_id and text) count as one document and give equal rows; rows of one doc_id with different texts are ordered by a
-hash of the text; a null doc_id comes first; an empty table gives an empty result; further input columns are not carried
+hash of the text; doc_ids of any type that has an order; a null doc_id comes first; an empty table gives an empty result; further input columns are not carried
 (join on doc_id). Texts are read whole.
 """
 
@@ -31,18 +34,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm import grams
-from tessera.llm.common import read, settle
+from tessera.llm.common import read, settle, typed_key
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text that are handled together after texts or contents have been dealt out.
-PART_BYTES = 4 << 20
+#: Bytes of text that are handled together after texts or contents have been dealt out, and tasks that take them at most.
+PART_BYTES, MOST_TASKS = 4 << 20, 20_000
+#: Counters of runs by anchor; an anchor is hot if its counter, over the counted documents, is above HOT and above MANY times the mean.
+SLOTS, SIXTEENTH, HOT, MANY = 1 << 16, 16, 256, 8
 _NO_ID = -(1 << 63)
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_RUN = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("id", "<i8"), ("start", "<i4"), ("n", "u1")])
-_WANT = np.dtype([("bucket", "<u8"), ("id", "<i8"), ("start", "<i4"), ("n", "u1")])
+#: ``again``: known to repeat an earlier run.
+_RUN = np.dtype([("bucket", "<u8"), ("content", "<u8"), ("id", "<i8"), ("start", "<i4"), ("n", "<u2"), ("again", "u1")])
+_WANT = np.dtype([("bucket", "<u8"), ("id", "<i8"), ("start", "<i4"), ("n", "<u2")])
 _REPEAT = np.dtype([("id", "<i8"), ("start", "<i4"), ("n", "<i4")])
 
 
@@ -58,8 +65,12 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def runs_of(texts: list[bytes], ids: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The runs (_RUN) of windows with one anchor, of some texts."""
+def slot(bucket: np.ndarray) -> np.ndarray:
+    return (bucket >> np.uint64(24)) % np.uint64(SLOTS)
+
+
+def runs_of(texts: list[bytes], ids: np.ndarray, length: int = LENGTH, gram: int = GRAM, hot: np.ndarray | None = None) -> np.ndarray:
+    """The runs (_RUN) of windows with one anchor, of some texts; windows, where ``hot`` has the anchor's slot."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
     buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(buf)
@@ -97,9 +108,54 @@ def runs_of(texts: list[bytes], ids: np.ndarray, length: int = LENGTH, gram: int
     out["bucket"] = full[a]
     out["content"] = grams.mix((pre[1][e] - pre[1][s]) * down[1][s] + grams.mix((count << 32 | (a - s)).astype(np.uint64)))
     out["id"], out["start"], out["n"] = ids[doc], s - first[doc], count
+    apart = np.flatnonzero(hot[slot(out["bucket"])]) if hot is not None else np.zeros(0, np.int64)
+    if not len(apart):
+        return out
+    p = np.repeat(s[apart] - np.cumsum(count[apart]) + count[apart], count[apart]) + np.arange(int(count[apart].sum()))
+    single = np.zeros(len(p), _RUN)
+    for name, k in (("bucket", 0), ("content", 1)):
+        single[name] = grams.mix((pre[k][p + length] - pre[k][p]) * down[k][p] + np.uint64(length))
+    doc = np.searchsorted(first, p, side="right") - 1
+    single["id"], single["start"], single["n"] = ids[doc], p - first[doc], 1
+    rest = np.ones(len(out), dtype=bool)
+    rest[apart] = False
+    return np.concatenate([out[rest], single])
+
+
+def joined(ids: np.ndarray, start: np.ndarray, n: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Runs of neighbouring windows of one document as one run each."""
+    order = np.lexsort((start, ids))
+    ids, start, end = ids[order], start[order].astype(np.int64), start[order].astype(np.int64) + n[order]
+    # a run begins where none before it in its document reaches it; runs of one document are far from the next one's
+    base = np.concatenate([[0], np.cumsum(np.diff(ids) != 0)]) * (1 << 33) if len(ids) else start
+    reach = np.maximum.accumulate(base + end) if len(ids) else end
+    new = np.concatenate([[True], (base + start)[1:] > reach[:-1]]) if len(ids) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    out = np.zeros(len(at), kind)
+    last = np.concatenate([at[1:], [len(ids)]]) - 1 if len(at) else at
+    out["id"], out["start"] = ids[at], start[at]
+    size = (reach - base)[last] - start[at]
+    if kind == _RUN:  # its length has two bytes
+        out = np.repeat(out, -(-size // 0xFFFF))
+        many = -(-size // 0xFFFF)
+        k = np.arange(len(out)) - np.repeat(np.cumsum(many) - many, many)
+        out["start"] += (k * 0xFFFF).astype(np.int32)
+        out["n"], out["again"] = np.minimum(np.repeat(size, many) - k * 0xFFFF, 0xFFFF), 1
+    else:
+        out["n"] = size
     return out
 
 
+def combined(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of equal runs, and which of ``rows`` repeat one of those."""
+    rows = rows[np.lexsort((rows["start"], rows["id"], rows["content"], rows["bucket"]))]
+    head = np.ones(len(rows), dtype=bool)
+    head[1:] = (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["content"][1:] != rows["content"][:-1])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    later = ~head & ((rows["id"] != rows["id"][lead]) | (rows["start"] != rows["start"][lead]))
+    return rows[head], rows[later]
+
+
 def equal_windows(contents: list[bytes], counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For the first ``counts`` windows of every content: positions in the joined contents that are not alone, and the
     identifier of the class of equal windows at each.
@@ -163,30 +219,75 @@ def _packed(pairs, kind: int | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(pairs), pa.int32()), *cols], ["kind", "part", "blob"])
 
 
-def _anchors(parts: int, length: int, gram: int):
+def _counted(length: int, gram: int):
+    """Runs by slot, of some documents: one row a task."""
+
+    def run(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at, part in grams.chunks(batch.column(1).to_pylist()):
+                total += np.bincount(slot(runs_of(part, ids[at : at + len(part)], length, gram)["bucket"]).astype(np.int64), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    return run
+
+
+def hot_slots(rows: DataFrame, length: int, gram: int) -> np.ndarray:
+    """The slots of hot anchors, from every SIXTEENTH document. Tasks' counters are added in up to eight tasks before the driver adds those."""
+
+    def added(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+    some = rows.where(F.pmod(F.xxhash64("id", F.lit("hot")), F.lit(SIXTEENTH)) == 0)
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for r in settle(some.mapInArrow(_counted(length, gram), "counts binary"), "counts").coalesce(8).mapInArrow(added, "counts binary").toLocalIterator():
+        total += np.frombuffer(r["counts"], dtype=np.int64)
+    return total > max(HOT, MANY * total.mean())
+
+
+def _anchors(parts: int, length: int, gram: int, hot: np.ndarray):
+    """Runs by the part of their bucket; those that repeat a run of their batch by a part of their document."""
+
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            made = [runs_of(part, ids[at : at + len(part)], length, gram) for at, part in grams.chunks(texts)]
-            rows = np.concatenate(made) if made else np.zeros(0, _RUN)
-            yield _packed(_blobs(rows, (rows["bucket"] >> np.uint64(32)) % np.uint64(parts)))
+            made = [runs_of(part, ids[at : at + len(part)], length, gram, hot) for at, part in grams.chunks(texts)]
+            rows, again = combined(np.concatenate(made) if made else np.zeros(0, _RUN))
+            again = joined(again["id"], again["start"], again["n"].astype(np.int64), _RUN)
+            part = np.concatenate([((rows["bucket"] >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), np.mod(spark_hash(again["id"]), parts)])
+            yield _packed(_blobs(np.concatenate([rows, again]), part))
 
     return run
 
 
+def _by_part(batches) -> Iterator[list[bytes]]:
+    """The blobs of each part, of batches (part, blob) in order of parts."""
+    held, last = [], None
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part != last and held:
+                yield held
+                held = []
+            held.append(blob)
+            last = part
+    if held:
+        yield held
+
+
 def _buckets(doc_parts: int):
-    """Of all runs of one task. Kind 0: repeats, kind 1: runs whose content is wanted; both by the part of their document."""
+    """Of all runs of one part. Kind 0: repeats, kind 1: runs whose content is wanted; both by the part of their document."""
 
     def one(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = rows[np.lexsort((rows["start"], rows["id"], rows["content"], rows["bucket"]))]
-        head = np.concatenate([[True], (rows["bucket"][1:] != rows["bucket"][:-1]) | (rows["content"][1:] != rows["content"][:-1])])
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        later = ~head & ((rows["id"] != rows["id"][lead]) | (rows["start"] != rows["start"][lead]))
-        again = np.zeros(int(later.sum()), _REPEAT)
-        for c in ("id", "start", "n"):
-            again[c] = rows[c][later]
+        known = rows[rows["again"] > 0]
+        heads, later = combined(rows[rows["again"] == 0])
+        later = np.concatenate([known, later])
+        again = joined(later["id"], later["start"], later["n"].astype(np.int64), _REPEAT)
         yield _packed(_blobs(again, np.mod(spark_hash(again["id"]), doc_parts)), 0)
-        heads = rows[head]
         _, which, count = np.unique(heads["bucket"], return_inverse=True, return_counts=True)
         heads = heads[count[which] > 1]
         want = np.zeros(len(heads), _WANT)
@@ -195,9 +296,8 @@ def _buckets(doc_parts: int):
         yield _packed(_blobs(want, np.mod(spark_hash(want["id"]), doc_parts)), 1)
 
     def run(batches):
-        got = [b for batch in batches for b in batch.column(1).to_pylist()]
-        if got:
-            yield from one(np.frombuffer(b"".join(got), _RUN))
+        for blobs in _by_part(batches):
+            yield from one(np.frombuffer(b"".join(blobs), _RUN))
 
     return run
 
@@ -235,29 +335,23 @@ def _refined(doc_parts: int, length: int, limit: int):
         lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(name) else np.zeros(0, np.int64)
         later = ~head & ((ids != ids[lead]) | (pos != pos[lead]))
         ids, pos = ids[later], pos[later]
-        order = np.lexsort((pos, ids))
-        ids, pos = ids[order], pos[order]
-        new = np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(pos) > 1)]) if len(ids) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        again = np.zeros(len(start), _REPEAT)
-        again["id"], again["start"] = ids[start], pos[start]
-        last = np.concatenate([start[1:], [len(ids)]]) - 1 if len(start) else start
-        again["n"] = pos[last] - pos[start] + 1
+        again = joined(ids, pos, np.ones(len(ids), dtype=np.int64), _REPEAT)
         return _packed(_blobs(again, np.mod(spark_hash(again["id"]), doc_parts)))
 
     def run(batches):
-        heads, contents, buckets = [], [], {}
-        for batch in batches:
-            for blob in batch.column(1).to_pylist():
-                at = 0
-                while at < len(blob):
-                    row = np.frombuffer(blob, _WANT, 1, at)
-                    size = int(row["n"][0]) - 1 + length
-                    heads.append(row)
-                    contents.append(blob[at + _WANT.itemsize : at + _WANT.itemsize + size])
-                    at += _WANT.itemsize + size
-        if not heads:
-            return
+        for blobs in _by_part(batches):
+            yield from part(blobs)
+
+    def part(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        heads, contents = [], []
+        for blob in blobs:
+            at = 0
+            while at < len(blob):
+                row = np.frombuffer(blob, _WANT, 1, at)
+                size = int(row["n"][0]) - 1 + length
+                heads.append(row)
+                contents.append(blob[at + _WANT.itemsize : at + _WANT.itemsize + size])
+                at += _WANT.itemsize + size
         rows = np.concatenate(heads)
         order = np.argsort(rows["bucket"], kind="stable")
         rows, contents = rows[order], [contents[i] for i in order]
@@ -311,34 +405,45 @@ def _cut(length: int, keep_text: bool):
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = True) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept_sha256, kept) of every row; ``kept`` (bytes) is null unless ``keep_text``."""
+    if not 0 < gram <= length or length - gram + 1 > 0xFFFF or length < 8:
+        raise ValueError("a window has 8 bytes or more, at least those of its q-gram, and at most 65,535 places of it")
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    repeated = rows.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    rows = docs.select(typed_key(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    numbered = rows.select(F.coalesce(F.col("key")["key"].cast("long"), F.lit(_NO_ID)).alias("id"), "text") if whole else None
     real = None
-    if repeated:  # documents are then numbered in the order of doc_id and a hash of the text
-        named = rows.select("id", F.xxhash64("text").alias("th")).distinct().orderBy("id", "th")
-        real = settle(named.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id bigint, th bigint, rid bigint"), "ids")
-        rows = settle(rows.withColumn("th", F.xxhash64("text")).join(real, ["id", "th"]).select(F.col("rid").alias("id"), "text"), "rows")
-        real = real.select(F.col("rid").alias("id"), F.col("id").alias("real"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not whole or numbered.groupBy("id").count().where("count > 1").limit(1).count():
+        # documents are numbered in the order of doc_id and a hash of the text
+        named = rows.select("key", F.xxhash64("text").alias("th")).distinct().orderBy("key", "th")
+        kind = named.schema["key"].dataType
+        schema = StructType([StructField("key", kind), StructField("th", LongType()), StructField("rid", LongType())])
+        real = settle(spark.createDataFrame(named.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), schema), "ids")
+        numbered = settle(rows.withColumn("th", F.xxhash64("text")).join(real, ["key", "th"]).select(F.col("rid").alias("id"), "text"), "rows")
+    rows = numbered
     volume = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    # documents are dealt to parts by a hash; anchors to one part a task, by the number itself
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # documents are dealt to parts by a hash, buckets to parts by theirs, and parts to tasks by their number
     parts = max(2 * tasks, -(-volume // PART_BYTES))
-    tasks = max(tasks, parts // 2)
+    tasks = min(max(tasks, parts // 2), max(tasks, MOST_TASKS))
+    buckets = max(tasks, parts // 2)
+    in_order = lambda d: d.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part")
 
-    anchors = rows.mapInArrow(_anchors(tasks, length, gram), "part int, blob binary").repartitionById(tasks, F.col("part"))
+    hot = hot_slots(rows, length, gram)
+    anchors = in_order(rows.mapInArrow(_anchors(buckets, length, gram, hot), "part int, blob binary"))
     found = settle(anchors.mapInArrow(_buckets(parts), "kind int, part int, blob binary"), "buckets")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).repartition(tasks, "part")
     wanted, again = (found.where(F.col("kind") == k).select("part", "blob").repartition(tasks, "part") for k in (1, 0))
-    contents = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_contents(tasks, length), "part int, blob binary")
-    more = contents.repartitionById(tasks, F.col("part")).mapInArrow(_refined(parts, length, PART_BYTES), "part int, blob binary")
+    contents = dealt.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_contents(buckets, length), "part int, blob binary")
+    more = in_order(contents).mapInArrow(_refined(parts, length, PART_BYTES), "part int, blob binary")
     repeats = again.unionByName(more.select("part", "blob")).repartition(tasks, "part")
     out = dealt.groupBy("part").cogroup(repeats.groupBy("part")).applyInArrow(
         _cut(length, keep_text), "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary"
     )
     if real is not None:
-        out = out.join(real, "id").drop("id").withColumnRenamed("real", "id")
-    return out.select(F.when(F.col("id") != _NO_ID, F.col("id")).alias(key), "n_bytes", "n_removed", "spans", "kept_sha256", "kept")
+        out = out.join(real.select(F.col("rid").alias("id"), "key"), "id").withColumn(key, F.col("key")["key"])
+    else:
+        out = out.withColumn(key, F.when(F.col("id") != _NO_ID, F.col("id")).cast(docs.schema[key].dataType))
+    return out.select(key, "n_bytes", "n_removed", "spans", "kept_sha256", "kept")
 
 
 def op3_suffix_array_dedup(spark, sf_dir):
