@@ -8,8 +8,9 @@ wavelet matrix (ranks by bit planes) and sampled suffix positions: windows are s
 occurrences are located by walking to the nearest sample. Overlapping occurrences merge to removal spans.
 
 A training shard is up to SHARD_BYTES of the texts of one task, so memory is bounded and nothing is shuffled. The
-benchmark goes to the tasks in blocks of at most BLOCK_WORDS words (its words are counted first); a benchmark of more
-blocks is searched in as many passes, one after the other over the same rows.
+benchmark goes to the tasks in blocks of about BLOCK_WORDS words (its bytes are counted first); a benchmark of more
+blocks is searched in as many passes, one after the other, and what a pass has found is written before the next block is
+read: driver, plan and tasks hold a single block at a time.
 
 Defined results: null and empty texts have no words, no hit, no item; an item without text or words gives no window;
 a null item_id is listed as ``null``; item rows that repeat count once; repeated documents get equal rows; an empty
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import read, settle
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -95,8 +96,9 @@ class FmIndex:
             self.planes.append((bit, ones, n - int(ones[-1])))
             cur = np.concatenate([cur[~on], cur[on]])
         start = np.concatenate([[True], bar[:-1]])  # walks end at the start of a run, and never cross a separator
-        self.sampled = (sa % sample == 0) | start[sa]
-        self.at = sa
+        marked = (sa % sample == 0) | start[sa]
+        #: sampled positions alone are kept, with the number of marked rows before each row
+        self.n, self.marked, self.at = n, np.concatenate([[0], np.cumsum(marked)]), sa[marked]
 
     def rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each row of the transform."""
@@ -118,7 +120,7 @@ class FmIndex:
     def search(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last row + 1 of each pattern (rows, aligned to the right, 0 before their start)."""
         lo = np.zeros(len(rows), dtype=np.int64)
-        hi = np.full(len(rows), len(self.at), dtype=np.int64)
+        hi = np.full(len(rows), self.n, dtype=np.int64)
         for col in range(rows.shape[1] - 1, -1, -1):
             live = np.flatnonzero((rows[:, col] > 0) & (hi > lo))
             if len(live):
@@ -129,11 +131,11 @@ class FmIndex:
 
     def locate(self, row: np.ndarray) -> np.ndarray:
         row, steps, todo = row.copy(), np.zeros(len(row), dtype=np.int64), np.arange(len(row))
-        while len(todo := todo[~self.sampled[row[todo]]]):
+        while len(todo := todo[self.marked[row[todo] + 1] == self.marked[row[todo]]]):
             c = self.symbol(row[todo])
             row[todo] = self.below[c] + self.rank(c, row[todo])
             steps[todo] += 1
-        return self.at[row] + steps
+        return self.at[self.marked[row]] + steps
 
 
 def hits_of(texts: list[str | None], w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +243,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     schema = f"{kept}, n_words bigint, n_hit bigint, spans array<struct<start:int,end:int>>, items array<string>"
     for b in range(blocks):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        w = Windows([(r["item"], r["text"]) for r in part.collect()], window)
+        w = Windows([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
         out = out.mapInArrow(_pass(w, text, shard_bytes, b > 0), schema)
+        if b + 1 < blocks:
+            out = settle(out, "searched")
     return out
 
 
