@@ -12,7 +12,7 @@ of index vectors are whole numbers, so the model does not depend on the order of
 has a fixed size. Scoring is a pass over the rows without a shuffle.
 
 Defined results: null and empty texts have no token and get the score of the zero vector; a doc_id with several labels
-takes the majority (a tie is good); labels that are null are left out; without any label every score is 0.5; rows that repeat get
+takes the majority (a tie is good); labels that are null or have no doc_id are left out, and rows without doc_id count as held out; without any label every score is 0.5; rows that repeat get
 equal rows; an empty table gives an empty result; an input column named ``score`` is replaced. Texts are read whole.
 """
 
@@ -159,7 +159,10 @@ class Model:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -40, 40)))
+        """Sums go along the rows of weights one by one, so that a row's score does not depend on the rows beside it."""
+        hidden = np.tanh(np.add.reduce(((x - self.mean) / self.scale)[:, :, None] * self.w1, axis=1) + self.b1)
+        logit = np.add.reduce((hidden * self.w2).T, axis=0) + self.b2
+        return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -40, 40)))
 
 
 def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 3) -> Model:
@@ -192,15 +195,16 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int = 3) -> M
 
 
 def held_out(key) -> F.Column:
-    """Whether a row is kept from training."""
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row is kept from training; a null key, which no label has, is."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
+    # of texts with one doc_id the least by its hash is learnt from, so that the model does not depend on the order of rows
     votes = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     # at most ``sample`` rows, so they may be broadcast
     chosen = settle(votes.orderBy(F.xxhash64(key), key).limit(sample), "chosen")
-    rows = settle(docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).dropDuplicates([key]).repartition(4, key), "sample")
+    rows = settle(docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")), "sample")
     vectors = word_vectors(contexts(docs.select(F.col(text).alias("text"))))
 
     def pool(batches):
@@ -225,9 +229,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         entries = Entries()
         for b in batches:
             texts = b.column(text).to_pylist()
-            # each row alone: equal texts get equal scores wherever they lie
-            s = [float(model.score(pooled(t, model.vectors, entries).astype(np.float64)[None, :])[0]) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
+            s = [np.zeros(0)]
+            for at in range(0, len(texts), 512):
+                s.append(model.score(np.stack([pooled(t, model.vectors, entries) for t in texts[at : at + 512]]).astype(np.float64)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(s), pa.float64())], [*b.schema.names, "score"])
 
     return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", score double")
 
