@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import lookup_join, read, settle
 
 
 @dataclass(frozen=True)
@@ -47,6 +47,8 @@ RULES = (
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 
+#: Matches of a text that are listed together.
+BLOCK = 256
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
@@ -54,23 +56,32 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule in code points. The pieces between matches give the positions of the matches."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     pieces = F.split(text, rule.pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {SPAN})")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
+        end = start + x["size"]
         span = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end")))
         keep = x["ok"]
         return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
+    def located(pairs: Column) -> Column:
+        """Spans by blocks of matches: lists grow within a block only, so the work is linear in the matches but for their number of blocks."""
+        block = lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        wide = lambda b: F.aggregate(block(b), F.lit(0), lambda n, x: n + x["gap"] + x["size"])
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + wide(b))))
+        each = F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, at: F.aggregate(block(b), F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"]))
+        return F.flatten(each)
+
     pairs = F.zip_with(
         hits,
         F.slice(pieces, F.lit(1), F.size(hits)),
-        lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap"), _kept(m, rule).alias("ok")),
+        lambda m, p: F.struct(F.length(m).alias("size"), F.length(p).alias("gap"), _kept(m, rule).alias("ok")),
     )
-    found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    # the pieces are made only where there is a match
-    return F.when(F.regexp_instr(text, F.lit(rule.pattern)) > 0, found).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    # the pieces are made only where there is a match, and once
+    found = F.get(F.transform(F.array(pairs), located), F.lit(0))
+    return F.when(F.regexp_instr(text, F.lit(rule.pattern)) > 0, found).otherwise(none)
 
 
 def _kept(m: Column, rule: Rule) -> Column:
@@ -99,7 +110,7 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], p
     A blob's text comes from the row whose path is least; only addresses and paths are grouped, so a blob
     with a third of all rows costs no more than any other.
     """
-    v = versions(docs, path, text)
+    v = settle(versions(docs, path, text), "versions")
     first = v.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is not None:
         pairs = " or ".join(f"(kind = '{r.kind}' and version = {r.version})" for r in rules)
@@ -107,9 +118,10 @@ def unseen(docs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...], p
         first = first.join(done, "blob", "left_anti")
     texts = docs.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     first = first.select(F.col("blob").alias("_b"), F.col("path").alias("_p"))
-    joined = texts.withColumn("blob", F.sha2("text", 256)).join(first, (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")), "left_semi")
-    # a path that repeats with the same text gives its blob more than once; those rows are equal
-    return joined.select("blob", "text")
+    joined = texts.withColumn("blob", F.sha2("text", 256)).join(first, (F.col("blob") == F.col("_b")) & F.col("path").eqNullSafe(F.col("_p")), "left_semi").select("blob", "text")
+    # a path that repeats with the same text gives its blob more than once
+    repeated = v.groupBy("blob", "path").count().where("count > 1").limit(1).count() > 0
+    return joined.dropDuplicates(["blob"]) if repeated else joined
 
 
 def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -123,8 +135,8 @@ def scan_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
 def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` without its text, with ``spans`` of the given rules by start, then rule.
 
-    Only blobs with findings are joined; the join is by the blob's address, which adaptive execution splits
-    where one blob holds very many paths.
+    Only blobs with findings are joined, by the blob's address: a list that is short is broadcast, else the join is
+    salted, so that a blob with very many paths is spread out.
     """
     wanted = " or ".join(f"(kind = '{r.kind}' and version = {r.version})" for r in rules)
     found = (
@@ -134,7 +146,7 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
         .agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
     )
     kept = docs.drop(*({"blob", "spans"} - {path, text})).withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).drop(text)
-    return kept.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")))
+    return lookup_join(kept, settle(found, "findings"), "blob", "left").withColumn("spans", F.coalesce("spans", F.expr(f"cast(array() as {SPAN})")))
 
 
 def _listed(spans: Column) -> Column:
