@@ -3,8 +3,11 @@
 Units of a text are the whole text, its blocks (parted by blank lines), its lines, and its runs of words. Normalising lower-cases A-Z
 and turns every run of other characters than [a-z0-9] into a space. A unit and a template are sets of word bigrams A
 and B with Dice 2|A & B| / (|A| + |B|). A template can only reach the threshold t if |A| lies between |B| t / (2 - t)
-and |B| (2 - t) / t: units outside every template's bounds are dropped before bigrams are made (a unit of w words has
-w - 1 bigrams at most), and each unit is compared only with templates within its bounds.
+and |B| (2 - t) / t: units outside every template's bounds are dropped before bigrams are made (a unit of w words, d of them distinct, has
+w - 1 bigrams at most and d - 1 at least), and each unit is compared only with templates within its bounds.
+
+Templates are notices and lines, and the full texts of licences, of more than LONG bigrams. A full text is found as a whole text or a
+block of one; in other places its notice, or its parts in blocks, are what there is to find.
 
 Runs are windows over the words of the whole text, so a notice is found over several paragraphs, in wrapped lines and inside
 a line. The best window of a template begins and ends with bigrams of it, as others at its ends only lower its Dice: from each
@@ -13,14 +16,14 @@ that overlap the one that shares most bigrams with its template stands, so a not
 in it. A run is a hit if its template is none of the other units'; each template has one, its best. ``n_units`` does not count runs.
 
 A unit or run that reaches the threshold shares at least ``need`` bigrams with its template, hence at least one with a word
-of ``anchors``: texts without any such word are not compared with templates.
+of ``anchors``: texts without any such word are not compared with templates of at most LONG bigrams.
 
 Only DataFrame functions are used, on each row alone: nothing is shuffled, so hot keys do not exist, and a lost
 executor's rows are simply read again. The templates are a constant of fixed size in the plan.
 
 Defined results: null, empty and one-word texts have no licence; of equal Dice the template first by name is the best; rows that repeat
-give equal rows; an empty table gives an empty result; columns named like the results (``licenses``, ``n_units``,
-``best_license``, ``best_dice``) are replaced. Whole texts are scanned, however long.
+give equal rows; an empty table gives an empty result; columns of the input named like the results (``licenses``, ``n_units``,
+``best_license``, ``best_dice``) are replaced, all others stay. Whole texts are scanned, however long.
 """
 
 from __future__ import annotations
@@ -28,21 +31,28 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import free_names, read
 
 THRESHOLD = 0.8
+#: Bigrams of the largest template that runs of words are compared with.
+LONG = 400
+
+#: Full texts of public licences, by the names of their files.
+FULL_TEXTS = {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "templates").glob("*.txt"))}
 
-#: Notices and texts of public licences.
-TEMPLATES = {
+#: Notices, lines and short texts of public licences.
+TEMPLATES = FULL_TEXTS | {
     "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "bsd-line": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-4.0-short": "Licensed under CC BY 4.0.",
@@ -90,8 +100,11 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
 
 def need(n: int, threshold: float) -> int:
     """Least number of bigrams shared by a template of n and a unit that reaches the threshold."""
-    lo, hi = bounds(n, threshold)
-    return min((k for a in range(lo, hi + 1) for k in range(1, min(a, n) + 1) if 2 * k / (a + n) >= threshold), default=n + 1)
+    lo, _ = bounds(n, threshold)  # more bigrams in the unit need no fewer shared ones
+    k = max(1, int(threshold * (lo + n) / 2) - 1)
+    while 2 * k / (lo + n) < threshold:
+        k += 1
+    return k
 
 
 def anchors(templates: list[list[str]], threshold: float) -> list[str]:
@@ -116,10 +129,18 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 def units(text: Column) -> Column:
     """Distinct normalised units: whole text, blocks, lines."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[^a-z0-9\n]+", " ")
-    tidy = lambda a: F.transform(a, lambda x: F.trim(F.regexp_replace(x, r"[ \n]+", " ")))
-    # computed once, not for each kind of unit
-    return let(plain, lambda p: F.array_distinct(F.concat(tidy(F.array(p)), tidy(F.split(p, r"\n(?: ?\n)+")), F.transform(F.split(p, r"\n"), lambda x: F.trim(x)))))
+    # \\W is some twenty times faster than a class of the same characters; it keeps _, which stands for the line feeds here. Only
+    # ASCII is left when letters become small, so this is the lower case of A-Z alone
+    plain = F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "_\n", " _"), r"\W+", " "))
+    tight = F.replace(F.replace(plain, F.lit(" _"), F.lit("_")), F.lit("_ "), F.lit("_"))
+    block = lambda x: F.trim(F.replace(x, F.lit("_"), F.lit(" ")))
+
+    def each(p: Column) -> Column:
+        lines = F.transform(F.split(p, "_"), F.trim)
+        parted = F.when(F.contains(p, F.lit("__")), F.transform(F.split(p, "__+"), block)).otherwise(F.array().cast("array<string>"))
+        return let(lines, lambda x: F.array_distinct(F.concat(F.array(F.array_join(F.filter(x, lambda w: w != ""), " ")), parted, x)))
+
+    return let(tight, each)
 
 
 def runs(text: Column, known: list[tuple[str, list[str], int]], threshold: float) -> Column:
@@ -153,7 +174,7 @@ def runs(text: Column, known: list[tuple[str, list[str], int]], threshold: float
         return F.coalesce(let(own, found), F.array().cast(kind))
 
     kind = "array<struct<shared:int,dice:double,rank:int,name:string,n:int,start:int,end:int>>"
-    words = F.split(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), "[^a-z0-9]+", " ")), " ")
+    words = F.split(F.trim(F.lower(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" ")), r"\W+", " "))), " ")
 
     def standing(all_: Column) -> Column:
         """Of windows that overlap the one that shares most bigrams (then: of greatest Dice, first by name, first in the text)."""
@@ -177,42 +198,56 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     """Every row of ``docs`` with ``licenses`` (array of struct(name, dice, words): the units that match, by their
     best template, in order), ``n_units`` (units within some template's bounds), ``best_license`` and ``best_dice``."""
     known = sorted((name, grams_of(t)) for name, t in templates.items())
-    long = [(name, g, len(words_of(templates[name])) - 1 - len(g)) for name, g in known if g]
-    known = [(name, g, *bounds(len(g), threshold)) for name, g in known if g]
-    least = min((lo for _, _, lo, _ in known), default=1)
-    most = max((hi for _, _, _, hi in known), default=0)
+    short = [(name, g, len(words_of(templates[name])) - 1 - len(g)) for name, g in known if 0 < len(g) <= LONG]
+    known = [(-i, name, g, *bounds(len(g), threshold)) for i, (name, g) in enumerate(known) if g]
+    least = min((lo for *_, lo, _ in known), default=1)
+    most = max((hi for *_, hi in known), default=0)
+    kind = "array<struct<dice:double,rank:int,name:string,n:int>>"
+    none = F.array().cast(kind)
 
     def grams(unit: Column) -> Column:
-        w = F.split(unit, " ")
-        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+        """Distinct bigrams of a unit; null where there are more than those of any template's bounds."""
+        pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+        few = lambda w: (F.size(w) - 1 <= most) | (F.size(F.array_distinct(w)) - 1 <= most)
+        return let(F.split(unit, " "), lambda w: F.when(few(w), pairs(w)))
 
-    def best(g: Column) -> Column:
+    def best(g: Column, some: list[tuple]) -> Column:
         """Greatest struct(dice, rank, name) over the templates within the bounds of a set of bigrams."""
         n = F.size(g)
-        each = [
-            F.when(n.between(lo, hi), F.struct((2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, t)))) / (n + len(t))).alias("dice"), F.lit(-i).alias("rank"), F.lit(name).alias("name"), n.alias("n")))
-            for i, (name, t, lo, hi) in enumerate(known)
-        ]
-        return F.array_max(F.array(*each))
+        # a template is one literal, split when the plan is made
+        shared = lambda t: F.size(F.array_intersect(g, F.split(F.lit(";".join(t)), ";")))
+        each = [F.when(n.between(lo, hi), F.struct((2.0 * shared(t) / (n + len(t))).alias("dice"), F.lit(rank).alias("rank"), F.lit(name).alias("name"), n.alias("n"))) for rank, name, t, lo, hi in some]
+        return F.array_max(F.array(*each)) if each else F.lit(None).cast(kind[6:-1])
 
     # a unit of fewer than least + 1 words has too few bigrams for every template
     long_enough = F.filter(units(F.col(text)), lambda u: (F.length(u) >= 2 * least + 1) & (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) >= least))
-    sets = F.filter(F.transform(long_enough, grams), lambda g: F.size(g).between(least, most))
-    sets = F.filter(sets, lambda g: F.exists(F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for _, _, lo, hi in known]), lambda b: (F.size(g) >= b["lo"]) & (F.size(g) <= b["hi"])))
+    ranges: list[list[int]] = []  # the sizes within some template's bounds
+    for lo, hi in sorted((lo, hi) for *_, lo, hi in known):
+        if ranges and lo <= ranges[-1][1] + 1:
+            ranges[-1][1] = max(ranges[-1][1], hi)
+        else:
+            ranges.append([lo, hi])
+    fits = lambda g: reduce(lambda a, b: a | b, [F.size(g).between(lo, hi) for lo, hi in ranges], F.lit(False))
+    sets = F.filter(F.transform(long_enough, grams), lambda g: g.isNotNull() & fits(g))
     # the anchors as substrings first, which is cheap, then as words
-    some = anchors([g for _, g, _, _ in known], threshold)
+    some = anchors([g for _, g, _ in short], threshold)
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     able = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in some], F.lit(False)) & F.coalesce(F.col(text), F.lit("")).rlike("(?i)(?<![0-9a-z])(?:" + "|".join(some) + ")(?![0-9a-z])")
-    whole = F.filter(F.transform("_sets", best), lambda b: b["dice"] >= threshold)
-    more = lambda u: F.concat(u, F.filter(runs(F.col(text), long, threshold), lambda r: ~F.exists(u, lambda x: x["name"] == r["name"])))
-    hits = F.when(able, let(whole, more)).otherwise(F.array().cast("array<struct<dice:double,rank:int,name:string,n:int>>"))
-    out = docs.withColumn("_sets", sets).withColumn("n_units", F.size("_sets").cast("long")).withColumn("_hits", hits)
-    top = F.array_max("_hits")
+    edge = max((hi for *_, t, lo, hi in known if len(t) <= LONG), default=0)
+    full = [k for k in known if len(k[2]) > LONG]
+    made, found = free_names(docs, ["_sets", "_hits"])
+    enough = lambda a: F.filter(a, lambda b: b["dice"] >= threshold)
+    whole = enough(F.transform(made, lambda g: best(g, known)))
+    more = lambda u: F.concat(u, F.filter(runs(F.col(text), short, threshold), lambda r: ~F.exists(u, lambda x: x["name"] == r["name"])))
+    large = F.filter(made, lambda g: F.size(g) >= min((lo for *_, lo, _ in full), default=edge + 1))
+    hits = F.when(able, let(whole, more)).when(F.size(large) > 0, enough(F.transform(large, lambda g: best(g, full)))).otherwise(none)
+    out = docs.withColumn(made, sets).withColumn("n_units", F.size(made).cast("long")).withColumn(found, hits)
+    top = F.array_max(found)
     return (
-        out.withColumn("licenses", F.transform("_hits", lambda b: F.struct(b["name"].alias("name"), b["dice"].alias("dice"), b["n"].alias("bigrams"))))
+        out.withColumn("licenses", F.transform(found, lambda b: F.struct(b["name"].alias("name"), b["dice"].alias("dice"), b["n"].alias("bigrams"))))
         .withColumn("best_license", top["name"])
         .withColumn("best_dice", top["dice"])
-        .drop("_sets", "_hits")
+        .drop(made, found)
     )
 
 
