@@ -14,19 +14,32 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 
 
-@lru_cache(1)
+def _kept(f):
+    """f with its results of up to 256 arguments kept; unlike the library's cache it goes to executors by value."""
+    known = {}
+
+    def g(*x):
+        if x not in known:
+            if len(known) >= 256:
+                known.clear()
+            known[x] = f(*x)
+        return known[x]
+
+    return g
+
+
+@_kept
 def zigzag() -> np.ndarray:
     """Natural index of each zigzag position."""
     cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
     return np.array([r * 8 + c for r, c in cells])
 
 
-@lru_cache(1)
+@_kept
 def inverse_transform() -> np.ndarray:
     """64 zigzag coefficients to 64 samples, as a matrix."""
     u = np.arange(8)
@@ -114,7 +127,7 @@ def _signed_values(bits: np.ndarray) -> np.ndarray:
     return np.where(bits[:, 0] == 1, v, v - (1 << size) + 1) if size else np.zeros(len(bits), np.int32)
 
 
-@lru_cache(256)
+@_kept
 def _order(shape: tuple[tuple[int, int, int, int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
     """(component, block) in the order of a scan. shape: h, v, wide, high, stride of each component."""
     if len(shape) == 1:
@@ -334,7 +347,7 @@ def grid(blocks: int) -> tuple[int, int]:
     return across, -(-n // across)
 
 
-@lru_cache(256)
+@_kept
 def _dc_signs(across: int, down: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     shape = ((2, 2, 2 * across, 2 * down, 2 * across), (1, 1, across, down, across), (1, 1, across, down, across))
     comp, block = _order(shape)

@@ -136,7 +136,7 @@ def units(text: Column) -> Column:
     block = lambda x: F.trim(F.replace(x, F.lit("_"), F.lit(" ")))
 
     def each(p: Column) -> Column:
-        lines = F.transform(F.split(p, "_"), F.trim)
+        lines = F.transform(F.split(p, "_"), lambda x: F.trim(x))
         parted = F.when(F.contains(p, F.lit("__")), F.transform(F.split(p, "__+"), block)).otherwise(F.array().cast("array<string>"))
         return let(lines, lambda x: F.array_distinct(F.concat(F.array(F.array_join(F.filter(x, lambda w: w != ""), " ")), parted, x)))
 
