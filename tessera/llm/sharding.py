@@ -103,7 +103,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     ``keep``: with all columns; else the text does not move.
     """
     docs = docs.drop("_size", "_shard", "_slot")
-    h, i, task, place_ = free_names(docs, ["_hash", "_id", "_task", "_place"])
+    h, i, task, place_, s, t, o = free_names(docs, ["_hash", "_id", "_task", "_place", "_of_shard", "_of_task", "_first"])
     whole = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     number = F.coalesce(F.col(key).cast("long") if whole else F.when(F.col(key).isNotNull(), F.xxhash64(key)), F.lit(_LOW[0]))
     sized = docs.withColumns({"_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, h: F.xxhash64(text), i: number})
@@ -120,13 +120,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     placed = placed.withColumns({"_shard": shard_of, task: F.spark_partition_id(), place_: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     placed = settle(placed.drop(h, i), "placed")
     # one row for each task and shard: where its rows begin in the shard
-    counts = placed.groupBy("_shard", task).agg(F.count("*").alias("n"), F.min(place_).alias("least"))
+    counts = placed.select("_shard", task, place_).groupBy("_shard", task).agg(F.count("*").alias("n"), F.min(place_).alias("least"))
     before = Window.partitionBy("_shard").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
     offset = (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).cast("long")
-    starts = settle(counts.select(F.col("_shard").alias("s"), F.col(task).alias("t"), offset.alias("o")), "starts")
+    starts = settle(counts.select(F.col("_shard").alias(s), F.col(task).alias(t), offset.alias(o)), "starts")
     # at most tasks + shards rows, and a task's rows lie together
-    out = placed.join(F.broadcast(starts), (F.col("_shard") == F.col("s")) & (F.col(task) == F.col("t")))
-    return out.withColumn("_slot", F.col("o") + F.col(place_)).select([c for c in placed.columns if c not in (task, place_)] + ["_slot"])
+    out = placed.join(F.broadcast(starts), (F.col("_shard") == F.col(s)) & (F.col(task) == F.col(t)))
+    return out.withColumn("_slot", F.col(o) + F.col(place_)).select([c for c in placed.columns if c not in (task, place_)] + ["_slot"])
 
 
 def op5_sharding(spark, sf_dir):
