@@ -81,29 +81,33 @@ def index_vectors(seed: int = 7) -> np.ndarray:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: the sums of the neighbours' index vectors over this task's texts."""
-    index, entries = index_vectors()[:BUCKETS].astype(np.float64), Entries()
-    total = np.zeros((BUCKETS, DIM))
-    held, size = [], 0
+    # entry BUCKETS has no vector: it parts the texts
+    index, entries = np.concatenate([index_vectors()[:BUCKETS], np.zeros((1, DIM))]).astype(np.int8), Entries()
+    total, gap = np.zeros((BUCKETS + 1, DIM), dtype=np.int64), np.full(REACH, BUCKETS, dtype=np.uint16)
+    held, size = [gap], 0
 
     def add() -> None:
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        word = pair // BUCKETS
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        total[word[first]] += np.add.reduceat(index[pair % BUCKETS] * n[:, None], first, axis=0)
+        e = np.concatenate(held)
+        own = index[e]
+        near = np.zeros(own.shape, dtype=np.int8)
+        for k in range(1, REACH + 1):
+            near[:-k] += own[k:]
+            near[k:] += own[:-k]
+        order = np.argsort(e, kind="stable")
+        word = e[order]
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        total[word[first]] += np.add.reduceat(near[order], first, axis=0, dtype=np.int64)
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
             e, _ = entries.of(text)
-            for k in range(1, REACH + 1):
-                if len(e) > k:
-                    held += [e[:-k] * BUCKETS + e[k:], e[k:] * BUCKETS + e[:-k]]
-                    size += 2 * (len(e) - k)
-            if size > 1 << 20:
+            held += [e.astype(np.uint16), gap]
+            size += len(e)
+            if size > 1 << 18:
                 add()
-                held, size = [], 0
-    if held:
-        add()
-    yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["sums"])
+                held, size = [gap], 0
+    add()
+    yield pa.RecordBatch.from_arrays([pa.array([total[:BUCKETS].tobytes()], pa.binary())], ["sums"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
