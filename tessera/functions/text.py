@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Sequence
-
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 #: Spellings of a missing knowledge-base link.
 EMPTY_LINKS = ("", "none", "null", "nil", "-1", "nan", "None")
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
+#: Words that alone are no key phrase.
+STOPWORDS = ("a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "with", "by", "is", "are", "was", "were", "be", "been", "it", "this", "that", "as", "at")
+#: Ranges of characters that count as emoji.
+EMOJI = ((0x1F300, 0x1F9FF), (0x1FA00, 0x1FAFF), (0x2700, 0x27BF), (0x2600, 0x26FF))
 TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 
 
@@ -21,9 +22,9 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def first_present(*columns: Column | str) -> Column:
-    """The first that is not null; an empty string counts as present."""
-    return F.coalesce(*[_c(x) for x in columns])
+def first_present(df: DataFrame, *names: str) -> Column:
+    """The first of several fields, of those that a table has, that is not null; an empty string counts as present."""
+    return F.coalesce(*[F.col(c) for c in names if c in df.columns], F.lit(None))
 
 
 def sample_id(explicit, ident, uid, model) -> Column:
@@ -48,16 +49,20 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
 
 
-def clean_post(x, normalise: bool = False, retweet: bool = True, url: str = "URL", user: str = "USER") -> Column:
-    """Line ends and white space, then links, user names, a leading RT mark and hash signs."""
-    x = nfkc(_c(x)) if normalise else _c(x)
+def clean_post(x, normalise: bool = True, retweet: bool = False, emoji: bool = False, style: str = "plain") -> Column:
+    """Line ends and white space, then links, user names, a leading RT mark, hash signs and emoji. Classes are of Unicode."""
+    url, user = ("<URL>", "<USER>") if style == "angle" else ("URL", "USER")
+    x = F.coalesce(nfkc(_c(x)) if normalise else _c(x), F.lit(""))
     x = F.regexp_replace(x, "\r\n?", "\n")
-    x = F.trim(F.regexp_replace(F.regexp_replace(x, "[\t\n]+", " "), " +", " "))
-    x = F.regexp_replace(x, r"https?://[^ ]+|www\.[^ ]+", url)
-    x = F.regexp_replace(x, "@[A-Za-z0-9_]+", user)
+    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[\t\n]+", " "), " +", " "), r"(?U)^\s+|\s+$", "")
+    x = F.regexp_replace(x, r"(?iU)https?://\S+|www\.\S+", url)
+    x = F.regexp_replace(x, r"(?U)@\w+", user)
     if retweet:
-        x = F.regexp_replace(x, "^RT +", "")
-    return F.regexp_replace(x, "#([A-Za-z0-9_]+)", "$1")
+        x = F.regexp_replace(x, r"(?iU)^RT\s+", "")
+    x = F.regexp_replace(x, r"(?U)#(\w+)", "$1")
+    if emoji:
+        x = F.trim(F.regexp_replace(F.regexp_replace(x, "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in EMOJI) + "]+", ""), " +", " "))
+    return x
 
 
 def time_key(x) -> Column:
@@ -135,10 +140,23 @@ def zero_if_missing(x) -> Column:
     return F.nanvl(F.coalesce(_c(x).cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def kb_id(wikidata, wikipedia, name) -> Column:
-    """wd:<id>, else wiki:<id or name>, else null; empty spellings as written."""
-    ok = lambda x: F.when(~x.cast("string").isin(*EMPTY_LINKS), x.cast("string"))
-    return F.coalesce(F.concat(F.lit("wd:"), ok(_c(wikidata))), F.concat(F.lit("wiki:"), F.coalesce(ok(_c(wikipedia)), ok(_c(name)))))
+def kb_id(wikidata, wikipedia=None, name=None) -> Column:
+    """wd:<id>, else wiki:<id>, else null; without outer spaces, empty spellings as written. The name stands in only where there is no ``wikipedia`` column at all."""
+    ok = lambda x: F.when(~F.trim(x.cast("string")).isin(*EMPTY_LINKS), F.trim(x.cast("string")))
+    other = wikipedia if wikipedia is not None else name
+    parts = [F.concat(F.lit("wd:"), ok(_c(wikidata)))] + ([F.concat(F.lit("wiki:"), ok(_c(other)))] if other is not None else [])
+    return F.coalesce(*parts)
+
+
+def split_id(x) -> Column:
+    """struct(key, side) of ids that end in _candidate or _humman_summary, else null."""
+    m = lambda k: F.regexp_extract(_c(x), r"^(?s)(.*)(_candidate|_humman_summary)$", k)
+    return F.when(m(2) != "", F.struct(m(1).alias("key"), F.when(m(2) == "_candidate", "candidate").otherwise("human").alias("side")))
+
+
+def bare(x) -> Column:
+    """Lower case, with a space for every character that is no letter, digit or white space."""
+    return F.regexp_replace(F.lower(_c(x)), r"[^a-z0-9 \t\n\r\f\x0B]", " ")
 
 
 def is_linked(wikidata) -> Column:
@@ -189,19 +207,3 @@ def ngrams(w: Column, n: int) -> Column:
     for k in range(1, n):
         out = F.zip_with(out, F.slice(w, F.lit(k + 1), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.slice(out, F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(0)))
-
-
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table at a time."""
-    zero = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-
-    def row(prev: Column, x: Column) -> Column:
-        start = F.array(F.lit(0))
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), start, lambda r, j: F.concat(r, F.array(F.when(F.element_at(b, j) == x, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(prev, j + 1), F.element_at(r, j))))))
-
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.aggregate(a, zero, row, lambda r: F.element_at(r, -1))).otherwise(0)
-
-
-def pick(columns: Sequence[str], present: Sequence[str]) -> Column:
-    """The first of several field names that a table has, row by row."""
-    return F.coalesce(*[F.col(c) for c in columns if c in present], F.lit(None))

@@ -289,15 +289,19 @@ def multi_reference(scores: DataFrame, keys: list[str], value: str = "f1", metho
 
 
 def align_phrases(phrases: DataFrame, sents: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """The best sentence of every phrase: it holds the phrase; it holds it but for case; it has ``least`` of its words; else
-    the most similar by character 3-grams. The first of equals. phrases(keys, p, phrase), sents(keys, i, sentence)."""
+    """The best sentence of every phrase: it holds the phrase; it does but for case and punctuation; it has ``least`` of its words; else
+    the most similar by character 3-grams. The first of equals. A phrase without sentences has i = -1 and how = none.
+
+    phrases(keys, p, phrase), sents(keys, i, sentence)."""
     j = phrases.join(sents, keys)
-    o = T.overlap("phrase", "sentence")
-    tier = F.when(F.contains("sentence", "phrase"), 0).when(F.contains(F.lower("sentence"), F.lower("phrase")), 1).when(o >= least, 2).otherwise(3)
-    how = F.element_at(F.array(*map(F.lit, ("exact", "casefold", "overlap", "chars"))), F.col("tier") + 1)
+    o = F.coalesce(T.overlap("phrase", "sentence"), F.lit(0.0))
+    plain = T.bare("phrase")
+    tier = F.when(F.contains("sentence", "phrase"), 0).when((plain != "") & F.contains(T.bare("sentence"), plain), 1).when(o >= least, 2).otherwise(3)
     j = j.withColumn("tier", tier).withColumn("score", F.when(F.col("tier") < 2, 1.0).when(F.col("tier") == 2, o).otherwise(F.coalesce(T.char_jaccard("phrase", "sentence"), F.lit(0.0))))
-    best = j.groupBy(*keys, "p").agg(F.min(F.struct("tier", (-F.round("score", 9)).alias("s"), "i", "phrase", "score")).alias("b"))
-    return best.select(*keys, "p", F.col("b.phrase").alias("phrase"), F.col("b.i").alias("i"), F.col("b.tier").alias("tier"), F.col("b.score").alias("score")).withColumn("how", how)
+    best = j.groupBy(*keys, "p").agg(F.min(F.struct("tier", (-F.round("score", 9)).alias("s"), "i", "score")).alias("b"))
+    how = F.element_at(F.array(*map(F.lit, ("exact", "casefold", "overlap", "semantic"))), F.col("b.tier") + 1)
+    out = phrases.join(best, [*keys, "p"], "left")
+    return out.select(*keys, "p", "phrase", F.coalesce("b.i", F.lit(-1)).alias("i"), F.col("b.tier").alias("tier"), F.col("b.score").alias("score"), F.when(F.col("b").isNull(), "none").otherwise(how).alias("how"))
 
 
 def paired_report(df: DataFrame, a: str, b: str, runtime_a: str, runtime_b: str, coverage_a: str, coverage_b: str) -> DataFrame:
@@ -306,3 +310,59 @@ def paired_report(df: DataFrame, a: str, b: str, runtime_a: str, runtime_b: str,
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(
         F.count("*").alias("n"), ca.alias("coverage_a"), cb.alias("coverage_b"), F.try_divide(F.avg(runtime_b), F.avg(runtime_a)).alias("runtime_multiplier"), (cb - ca > 0.01).alias("coverage_up"),
     )
+
+
+def wording(coverage_up: Column, delta: Column, low: Column, high: Column) -> Column:
+    """Case of a paired report: A for better coverage and correlation beyond doubt, B for a gain that is small or in doubt, else C."""
+    zero = F.coalesce((low <= 0) & (high >= 0), F.lit(False))
+    modest = (delta > 0) & ((delta < 0.05) | zero)
+    return F.when(delta.isNull(), "insufficient_stats").when(coverage_up & (delta > 0) & ~modest, "A").when(coverage_up & modest, "B").otherwise("C")
+
+
+def repeats(runs: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Mean and standard deviation (0 for one run) of several values over the repeats of each key, nulls left out."""
+    std = lambda v: F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v))
+    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), *[f(v).alias(f"{n}_{v}") for v in values for n, f in (("mean", F.avg), ("std", std))])
+
+
+def within_groups(df: DataFrame, x: str, y: str, key: str, least: int = 3) -> DataFrame:
+    """Mean, standard deviation, median and share of positive correlations within groups of ``least`` rows; groups, and those with a coefficient."""
+    r = pearson(df, x, y, [key], least)
+    c = F.col("coefficient")
+    return r.agg(F.count("*").alias("groups"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, 0.5).alias("median"), F.try_divide(F.count_if(c > 0).cast("double"), F.count(c)).alias("positive"))
+
+
+def isolated(f, kind: str):
+    """A column function whose exceptions fail a row only: struct(value, error) for every row of f's arguments."""
+
+    @F.pandas_udf(f"value {kind}, error string")
+    def run(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(*columns):
+            try:
+                out.append((f(*row), None))
+            except Exception as e:  # noqa: BLE001 - any failure is the row's result
+                out.append((None, f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(out, columns=["value", "error"])
+
+    return run
+
+
+def reply_rows(df: DataFrame, summary: str, reply: str, method: str) -> DataFrame:
+    """Scores of a direct judge's replies: yes or no (``zs``), or stars (``star``), with ``binary`` and a status: ok, empty_summary or parse_failure."""
+    blank = F.coalesce(F.trim(summary) == "", F.lit(True))
+    score = T.yes_no(reply).cast("double") if method == "zs" else T.stars(reply) / 5.0
+    good = T.yes_no(reply).cast("int") if method == "zs" else (T.stars(reply) >= 4).cast("int")
+    return df.withColumns({
+        "score": F.when(~blank, score), "binary": F.when(~blank, good),
+        "status": F.when(blank, "empty_summary").when(score.isNull(), "parse_failure").otherwise("ok"),
+    })
+
+
+def judged_support(phrases: DataFrame, sents: DataFrame, replies: DataFrame, keys: list[str]) -> DataFrame:
+    """Support rate of samples: phrases (or, for a sample without any, its sentences) are aligned with sentences, and replies(keys, p,
+    reply) judge each; a reply that cannot be read counts in the denominator only."""
+    lone = sents.join(phrases.select(*keys).distinct(), keys, "left_anti").select(*keys, F.col("i").alias("p"), F.col("sentence").alias("phrase"))
+    a = align_phrases(phrases.select(*keys, "p", "phrase").unionByName(lone), sents, keys)
+    j = a.join(replies, [*keys, "p"], "left").withColumn("label", T.verdict("reply"))
+    return support_rate(j, "label", keys)

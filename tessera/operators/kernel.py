@@ -46,7 +46,7 @@ def pack(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def packed_facts(graphs: DataFrame, mode: int = 2) -> DataFrame:
-    """Packed simple graphs of facts(doc, nodes, edges). ``mode``: edges have no type (0), their relation (1), or the kinds of their ends (2)."""
+    """Packed graphs of facts(doc, nodes, edges); edges with the same ends stand side by side, and kernels take the last. ``mode``: edges have no type (0), their relation (1), or the kinds of their ends (2)."""
     each = F.transform("edges", lambda e: F.lit("edge") if mode == 0 else F.coalesce(e["rel"], F.lit("")) if mode == 1 else G._etype(e))
     long = lambda f: F.transform("edges", lambda e: f(e["a"], e["b"]).cast("long"))
     return graphs.select(

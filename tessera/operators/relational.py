@@ -116,7 +116,7 @@ def bundle_problems(candidates: DataFrame, references: DataFrame, events: DataFr
     """(problem, event, system): repeated candidates, and candidates or references that an event lacks."""
     s = events.sparkSession.createDataFrame([(x,) for x in systems], "system string")
     dup = candidates.groupBy("event", "system").count().where("count > 1").select(F.lit("duplicate_candidate").alias("problem"), "event", "system")
-    want = events.select("event").distinct().join(F.broadcast(s))  # systems are a list in the configuration
+    want = events.select("event").distinct().join(s)  # systems are a list in the configuration
     miss = want.join(candidates.select("event", "system"), ["event", "system"], "left_anti").select(F.lit("missing_candidate").alias("problem"), "event", "system")
     ref = events.select("event").distinct().join(references.select("event"), "event", "left_anti").select(F.lit("missing_reference").alias("problem"), "event", F.lit(None).cast("string").alias("system"))
     return dup.unionByName(miss).unionByName(ref)
@@ -181,10 +181,16 @@ def ranking_agreement(df: DataFrame, system: str, a: str, b: str, top: int = 3)
     """Mean distance of ranks, whether the best agrees, and overlap and Jaccard of the top systems (null for fewer)."""
     r = df.select(system, average_rank(a, descending=True).alias("ra"), average_rank(b, descending=True).alias("rb"), F.row_number().over(Window.orderBy(F.desc(a), system)).alias("pa"), F.row_number().over(Window.orderBy(F.desc(b), system)).alias("pb"))
     both = F.count_if((F.col("pa") <= top) & (F.col("pb") <= top))
-    return r.agg(
-        F.count("*").alias("n"), F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("mean_rank_distance"), (F.count_if((F.col("pa") == 1) & (F.col("pb") == 1)) == 1).alias("top1_match"),
+    n, mx, my = F.count("*"), F.avg("ra"), F.avg("rb")
+    cov, vx, vy = F.avg(F.col("ra") * F.col("rb")) - mx * my, F.avg(F.col("ra") * F.col("ra")) - mx * mx, F.avg(F.col("rb") * F.col("rb")) - my * my
+    # systems are few, so their pairs are compared
+    q = r.select(F.col(system).alias("s2"), F.col("ra").alias("ra2"), F.col("rb").alias("rb2"))
+    signs = r.join(q, F.col(system) < F.col("s2")).select(F.signum(F.col("ra") - F.col("ra2")).alias("a"), F.signum(F.col("rb") - F.col("rb2")).alias("b"))
+    tau = signs.agg(F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.abs("a")) * F.sum(F.abs("b")))).alias("tau"))
+    return tau.crossJoin(r.agg(  # one row each
+        F.when(n >= 2, F.try_divide(cov, F.sqrt(vx * vy))).alias("rho"), F.count("*").alias("n"), F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("mean_rank_distance"), (F.count_if((F.col("pa") == 1) & (F.col("pb") == 1)) == 1).alias("top1_match"),
         F.when(F.count("*") >= top, both).alias("top_overlap"), F.when(F.count("*") >= top, both / (2.0 * top - both)).alias("top_jaccard"),
-    )
+    ))
 
 
 def key_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -202,8 +208,23 @@ def tagged_union(parts: dict[str, DataFrame], line: str, ident: str) -> DataFram
     return out
 
 
-def prefers_human(df: DataFrame, metrics: str, human: str, candidate: str) -> DataFrame:
-    """(metric, doc): documents whose human text scores higher, for map columns of metric scores."""
-    h = df.select("doc", F.explode(human).alias("metric", "h"))
-    c = df.select("doc", F.explode(candidate).alias("metric", "c"))
-    return h.join(c, ["doc", "metric"]).where("h > c").select("metric", "doc") if metrics else h
+def scores_with_labels(scores: DataFrame, labels: DataFrame, key: str, state: str, human: str, score: str, exclude_perfect: bool = True) -> DataFrame:
+    """labels(key, state, human) with a reason each: skip_state, skip_score1, missing_sim, or used where both scores are there. scores(key, score)."""
+    perfect = F.coalesce(F.col(human) == 1, F.lit(False)) if exclude_perfect else F.lit(False)
+    j = labels.select(key, state, human).join(scores.select(key, score), key, "left")
+    why = F.when(~F.coalesce(F.col(state) == "success", F.lit(False)), "skip_state").when(perfect, "skip_score1").when(F.col(score).isNull() | F.col(human).isNull(), "missing_sim").otherwise("used")
+    return j.withColumn("why", why)
+
+
+def attach_scores(lines: DataFrame, files: DataFrame, key: str, column: str, metric: str) -> DataFrame:
+    """A map column with one more metric where there is a file for the key: its value, null where the file lacks it. files(key, value)."""
+    found = files.groupBy(key).agg(F.first("value").alias("_v"), F.lit(True).alias("_there"))
+    old = F.coalesce(F.col(column), F.create_map().cast(dict(lines.dtypes)[column]))
+    new = F.map_concat(F.map_filter(old, lambda k, _: k != metric), F.create_map(F.lit(metric), F.col("_v")))
+    return lines.join(found, key, "left").withColumn(column, F.when(F.col("_there"), new).otherwise(F.col(column))).drop("_v", "_there")
+
+
+def match_ledger(left: DataFrame, right: DataFrame, matches: DataFrame, key: str) -> DataFrame:
+    """(key, i, reason) of left rows without a match: no_label where the key has no right row, else below_threshold."""
+    there = right.select(key).distinct().withColumn("_r", F.lit(True))
+    return left.join(matches.select(key, "i"), [key, "i"], "left_anti").join(there, key, "left").select(key, "i", F.when(F.col("_r").isNull(), "no_label").otherwise("below_threshold").alias("reason"))

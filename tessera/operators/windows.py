@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
 SPECIALS = 2
+#: How far ahead of the pointer a token is sought, in lengths of the token, and in characters at least.
+AHEAD, LEAST_AHEAD = 4, 24
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _TOKEN = re.compile(r"\S+")
 WINDOW = "doc {0}, window_id int, start int, end int, tokens int, first_sentence int, last_sentence int, text string"
@@ -231,7 +233,7 @@ def align_tokens(text: str, tokens: list[str]) -> list[tuple[int, int]]:
     low, at, out = text.translate(plain).lower(), 0, []
     low = low if len(low) == len(text) else text
     for t in tokens:
-        far = at + max(4 * len(t), 24) + len(t)
+        far = at + max(AHEAD * len(t), LEAST_AHEAD) + len(t)
         k = text.find(t, at, far)
         k = k if k >= 0 else low.find(t.translate(plain).lower(), at, far)
         if k < 0:
@@ -253,5 +255,26 @@ def aligned(docs: DataFrame, doc: str, text: str, tokens: str) -> DataFrame:
     return docs.select(doc, text, tokens).mapInPandas(run, f"doc {kind}, idx int, start int, end int")
 
 
-def sentence_count(x) -> F.Column:
-    return F.size(T.sentences(x))
+def mention_spans(mentions: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(doc, mention_id, start, end): from the first to the last token of mentions(doc, mention_id, token_index array) that there is; 0, 0 without any.
+    tokens(doc, idx, start, end)."""
+    m = mentions.select("doc", "mention_id", F.posexplode_outer("token_index").alias("p", "idx"))
+    j = m.join(tokens.select("doc", "idx", "start", "end"), ["doc", "idx"], "left")
+    there = F.col("end").isNotNull()
+    g = j.groupBy("doc", "mention_id").agg(F.min_by("start", F.when(there, F.col("p"))).alias("start"), F.max_by("end", F.when(there, F.col("p"))).alias("end"))
+    return g.select("doc", "mention_id", F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end"))
+
+
+def annotate_spans(nodes: DataFrame, window_id: int | Column, offset: Column, tokens: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
+    """Nodes of window graphs with their window, character spans in the window and in the text, surface and knowledge-base ids.
+
+    nodes(doc, node, kind, id, ...), tokens and mentions(doc, id, start, end, surface[, type]) with spans in the text, entities(doc, id, wikidata_id,
+    wikipedia_id, surface, score). A node without an annotation stays as it is; ``offset`` is where the window begins.
+    """
+    span = lambda d, kind, extra: d.select("doc", F.lit(kind).alias("kind"), "id", F.col("start").alias("global_start"), F.col("end").alias("global_end"), "surface", extra.alias("ner"), *[F.lit(None).cast("string").alias(c) for c in ("wikidata_id", "wikipedia_id")], F.lit(None).cast("double").alias("entity_score"))
+    null = F.lit(None).cast("string")
+    e = entities.select("doc", F.lit("Entity").alias("kind"), "id", *[F.lit(None).cast("int").alias(c) for c in ("global_start", "global_end")], "surface", null.alias("ner"), F.col("wikidata_id").cast("string"), F.col("wikipedia_id").cast("string"), F.col("score").cast("double").alias("entity_score"))
+    known = span(tokens, "Token", null).unionByName(span(mentions, "Mention", F.col("type"))).unionByName(e)
+    out = nodes.join(known.withColumn("_known", F.lit(True)), ["doc", "kind", "id"], "left")
+    w = F.lit(window_id) if isinstance(window_id, int) else window_id
+    return out.withColumns({"window_id": F.when(F.col("_known"), w), "local_start": F.col("global_start") - offset, "local_end": F.col("global_end") - offset}).drop("_known")

@@ -68,6 +68,15 @@ simple as materialized (
   select e.doc, least(a.ord, b.ord) as u, greatest(a.ord, b.ord) as v, arg_max(e.etype, e.ord) as etype
   from edges e join nodes a on a.doc = e.doc and a.node = e.src join nodes b on b.doc = e.doc and b.node = e.dst group by all)"""
 
+#: The simple graph with edges of weight 1 / distance between nodes at distance 2 and 3, and every missing self-loop.
+FAR = """
+b as materialized (select distinct doc, u as a, v as b from simple where u <> v union select distinct doc, v, u from simple where u <> v),
+two as materialized (select distinct x.doc, x.a, y.b from b x join b y on x.doc = y.doc and x.b = y.a where x.a <> y.b and not exists (select 1 from b z where z.doc = x.doc and z.a = x.a and z.b = y.b)),
+three as materialized (select distinct x.doc, x.a, y.b from two x join b y on x.doc = y.doc and x.b = y.a where x.a <> y.b and not exists (select 1 from b z where z.doc = x.doc and z.a = x.a and z.b = y.b)
+  and not exists (select 1 from two z where z.doc = x.doc and z.a = x.a and z.b = y.b)),
+far as materialized (select doc, u, v, etype, 1.0::double as w from simple union all select doc, a, b, 'shortest-path', 1 / 2.0::double from two where a < b union all select doc, a, b, 'shortest-path', 1 / 3.0::double from three where a < b
+  union all select doc, ord, ord, 'shortest-path', 1.0::double from nodes n where not exists (select 1 from simple s where s.doc = n.doc and s.u = n.ord and s.v = n.ord))"""
+
 PAIRS = "pairs as (select doc_id as pair, doc_id as i, lead(doc_id) over (partition by lang, source order by doc_id) as j from documents qualify j is not null)"
 
 
@@ -155,10 +164,7 @@ def g8(spark, d):
 
 @query(
     "g9_shortest_path_edges",
-    f"""with {GRAPH}, ee as (select doc, u, v from simple where etype = 'entity-entity' and u <> v),
-    b as (select doc, u as a, v as b from ee union select doc, v, u from ee),
-    two as (select distinct x.doc, x.a, y.b from b x join b y on x.doc = y.doc and x.b = y.a where x.a < y.b and not exists (select 1 from b z where z.doc = x.doc and z.a = x.a and z.b = y.b))
-    select doc, count(*) as n, sum(a)::bigint as su, sum(b)::bigint as sv from two group by doc""",
+    f"with {GRAPH}, {FAR} select doc, count(*) as n, sum(u)::bigint as su, sum(v)::bigint as sv from far where etype = 'shortest-path' group by doc",
 )
 def g9(spark, d):
     p = G.edges_flat(_far(_packed(spark, d))).where("etype = 'shortest-path'")
@@ -170,10 +176,11 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 @query(
     "g14_stopword_subgraph",
-    f"""with {GRAPH}, good as (select * from nodes where not (kind = 'Token' and substr(name, 3) in ({_STOP}))),
-    e as (select x.doc, x.src, x.dst from edges x join good a on a.doc = x.doc and a.node = x.src join good b on b.doc = x.doc and b.node = x.dst where x.src <> x.dst),
-    u as (select distinct doc, node from (select doc, src as node from e union all select doc, dst from e))
-    select doc, (select count(*) from u where u.doc = t.doc) as n_nodes, count(*) as n_edges from e t group by doc""",
+    f"""with {GRAPH}, bad as materialized (select doc, node from nodes where kind = 'Token' and substr(name, 3) in ({_STOP})),
+    one as materialized (select edges.doc, src, dst from edges left join bad on bad.doc = edges.doc and bad.node = edges.src where bad.node is null and src <> dst),
+    e as materialized (select one.doc, src, dst from one left join bad on bad.doc = one.doc and bad.node = one.dst where bad.node is null),
+    a as (select doc, count(distinct node) as n_nodes from (select doc, src as node from e union all select doc, dst from e) group by doc), b as (select doc, count(*) as n_edges from e group by doc)
+    select doc, n_nodes, n_edges from a join b using (doc)""",
 )
 def g14(spark, d):
     n, e = G.without_words(*_graph(spark, d))
@@ -216,11 +223,6 @@ def g17(spark, d):
     return e.groupBy("doc").agg(F.count("*").alias("n_entities"), F.count_if(F.exists("embedding", lambda x: x != 0)).alias("n_known"))
 
 
-@query("g18_node_link")
-def g18(spark, d):
-    return G.node_link(*_graph(spark, d)).select("doc", F.sha2("json", 256).alias("json_sha256"))
-
-
 # ---------------------------------------------------------------- kernels
 
 #: Labels as the first 60 bits of MD5s.
@@ -246,9 +248,10 @@ ent_ as materialized (select which, pair, etype, sum(sqrt(ei * ej) * {fa} * {fb}
   from first_ x join hist y on y.g = x.j and y.round = x.round and y.a = x.a and y.b = x.b and y.etype = x.etype) group by all)"""
 
 
-def _hist(typed=True, minimum=False, per_type=True):
+def _hist(typed=True, minimum=False, per_type=True, table="simple", weight="count(*)"):
     t = "e.etype" if typed else "'edge'"
-    return HIST.format(etype=t, etype0="etype" if typed else "1::int", fa="least(xfa, yfa)" if minimum else "yfa", fb="least(xfb, yfb)" if minimum else "yfb", cx="x.ct" if per_type else "1", cy="y.ct" if per_type else "1")
+    h = HIST.format(etype=t, etype0="etype" if typed else "1::int", fa="least(xfa, yfa)" if minimum else "yfa", fb="least(xfb, yfb)" if minimum else "yfb", cx="x.ct" if per_type else "1", cy="y.ct" if per_type else "1")
+    return h.replace("from simple)", f"from {table})").replace("count(*)::double as weight", f"{weight}::double as weight")
 
 
 def _score_sql(weights: str, key: str = "", minimum=False):
@@ -299,7 +302,11 @@ def k13(spark, d):
     return _r(K.weigh(parts, w, ["vector"]), "score")
 
 
-@query("k14_sweep_grid")
+@query(
+    "k14_sweep_grid",
+    "with k as (" + _score_sql(", ".join(f"('{n}', '{t}', {v}::double)" for n, w in GRID for t, v in w.items()), "vector")
+    + "), g as (select score, string_split(vector, ',')[1] as tt, string_split(vector, ',')[3] as me from k) select tt, round(avg(score) filter (where me = '0.5'), 6) as me_half, round(avg(score) filter (where me = '1'), 6) as me_one from g group by tt",
+)
 def k14(spark, d):
     s = k13(spark, d).withColumn("w", F.split("vector", ","))
     s = s.select("score", F.get("w", F.lit(0)).alias("tt"), F.get("w", F.lit(2)).alias("me"))
@@ -307,7 +314,14 @@ def k14(spark, d):
     return g.select("tt", F.round(g["`0.5`"], 6).alias("me_half"), F.round(g["`1`"], 6).alias("me_one"))
 
 
-@query("k6_kernel_shortest_path")
+_W6 = ", ".join(f"('{t}', {w}::double)" for t, w in {**K.WEIGHTS, "shortest-path": 0.1}.items())
+
+
+@query(
+    "k6_kernel_shortest_path",
+    f"""with {GRAPH}, {FAR}, {WL.replace('from simple', 'from far')}, {PAIRS}, {_hist(minimum=True, table='far', weight='sum(w)')}, w(etype, w) as (values {_W6})
+    select p.pair, round(coalesce(sum(s * w), 0), 6) as score from pairs p left join (select pair, s, coalesce(w, 1) as w from ent_ left join w using (etype) where which = 'k01') e on e.pair = p.pair group by p.pair""",
+)
 def k6(spark, d):
     """The variant with shortest paths has no own entries, so K01 itself is given."""
     weights = {**K.WEIGHTS, "shortest-path": 0.1}
@@ -353,10 +367,21 @@ def x3(spark, d):
     return X.windows(_t(spark, d, "documents")).select("doc", "window_id", "start", "end", "tokens", "first_sentence", "last_sentence", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("x7_window_violations", "select doc_id as doc, 0::bigint as window_id, '' as problem from documents where false")
+@query(
+    "x7_window_violations",
+    f"""with t as (select doc_id as doc, coalesce(text, '') as t from documents), w as (select doc, t, k, k * {A.STEP} as s, k * {A.STEP} + {A.WIDE} as e, lag(k) over (partition by doc order by k) as b, lead(k) over (partition by doc order by k) as n
+      from (select doc, t, unnest(range(0, (greatest(length(t) - 1, 0) // {A.STEP}) + 1)) as k from t) where k <> 2)
+    select doc, k::bigint as window_id, unnest(list_filter([case when k = 1 then 'over_cap' end, case when k = 0 and doc % 5 = 0 then 'not_a_slice' end, case when k = 4 then 'no_advance' end,
+      case when (b is null or b * {A.STEP} + {A.WIDE} < s) and regexp_replace(substr(t, coalesce(b * {A.STEP} + {A.WIDE}, 0) + 1, greatest(case when k = 4 then 0 else s end - coalesce(b * {A.STEP} + {A.WIDE}, 0), 0)), '\\s+', '', 'g') <> '' or (n is null and regexp_replace(substr(t, e + 1), '\\s+', '', 'g') <> '') then 'uncovered' end], lambda x: x is not null)) as problem from w""",
+)
 def x7(spark, d):
+    """Windows with planted faults: too many tokens, text that is no slice, one that is missing, one that goes back to the start."""
     docs = _t(spark, d, "documents")
-    return _long(X.violations(X.windows(docs), docs), "window_id")
+    w = A.fixed_windows(docs).where("window_id <> 2").join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc")
+    w = w.withColumn("start", F.when(F.col("window_id") == 4, 0).otherwise(F.col("start"))).withColumn("tokens", F.when(F.col("window_id") == 1, 600).otherwise(10))
+    slice_ = F.expr("substring(coalesce(text, ''), start + 1, end - start)")
+    w = w.withColumn("text", F.when((F.col("window_id") == 0) & (F.col("doc") % 5 == 0), F.concat(slice_, F.lit("~"))).otherwise(slice_))
+    return _long(X.violations(w, docs), "window_id")
 
 
 @query("x8_prefix_vs_sliding")
@@ -481,11 +506,11 @@ def p11(spark, d):
 
 @query(
     "p12_clean_text",
-    r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace('RT ' || text || chr(10) || 'http://a.example/b #tag @me', '\r\n?', chr(10), 'g'), '[\t\n]+', ' ', 'g'), ' +', ' ', 'g')), 'https?://[^ ]+|www\.[^ ]+', 'URL', 'g'), '@[A-Za-z0-9_]+', 'USER', 'g'), '^RT +', ''), '#([A-Za-z0-9_]+)', '\1', 'g')) as h from documents""",
+    r"""select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace('rt ' || text || chr(10) || 'HTTP://a.example/b #tag @me', '\r\n?', chr(10), 'g'), '[\t\n]+', ' ', 'g'), ' +', ' ', 'g')), '(?i)https?://[^\s]+|www\.[^\s]+', '<URL>', 'g'), '@[\p{L}\p{N}\p{Mn}_]+', '<USER>', 'g'), '^(?i)RT\s+', ''), '#([\p{L}\p{N}\p{Mn}_]+)', '\1', 'g')) as h from documents where text is not null""",
 )
 def p12(spark, d):
-    x = F.concat(F.lit("RT "), F.col("text"), F.lit("\nhttp://a.example/b #tag @me"))
-    return _t(spark, d, "documents").select("doc_id", F.md5(T.clean_post(x)).alias("h"))
+    x = F.concat(F.lit("rt "), F.col("text"), F.lit("\nHTTP://a.example/b #tag @me"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.clean_post(x, normalise=False, retweet=True, style="angle")).alias("h"))
 
 
 @query("p13_time_key", "select event_id, case event_id % 4 when 0 then 1 else 0 end::bigint as missing, case event_id % 4 when 0 then '' when 1 then 'soon' else strftime(ts, '%Y-%m-%dT%H:%M:%S') end as key from events")
@@ -543,10 +568,10 @@ def p20(spark, d):
     return _r(_t(spark, d, "events").select("event_id", T.directed(x, distance=F.col("event_id") % 2 == 0).alias("v"), T.zero_if_missing(x).alias("filled")), "v", "filled")
 
 
-@query("p22_kb_id", f"with {GRAPH} select doc, node, case when wikidata <> '' then 'wd:' || wikidata else 'wiki:' || substr(name, 3) end as kb, wikidata <> '' as linked from nodes where kind = 'Entity'")
+@query("p22_kb_id", f"with {GRAPH} select doc, node, case when wikidata <> '' then 'wd:' || wikidata when substr(name, 3)::bigint % 6 <> 0 then 'wiki:' || substr(name, 3) end as kb, wikidata <> '' as linked from nodes where kind = 'Entity'")
 def p22(spark, d):
     n = _graph(spark, d)[0].where("kind = 'Entity'")
-    return n.select("doc", "node", T.kb_id("wikidata", F.expr("substring(name, 3)"), F.lit(None).cast("string")).alias("kb"), T.is_linked("wikidata").alias("linked"))
+    return n.select("doc", "node", T.kb_id(F.concat(F.lit(" "), "wikidata", F.lit(" ")), F.when(F.expr("cast(substring(name, 3) as bigint) % 6 <> 0"), F.expr("substring(name, 3)")), "node").alias("kb"), T.is_linked("wikidata").alias("linked"))
 
 
 _J = "with {p}, t as (select pair, a.text as a, b.text as b from pairs join documents a on a.doc_id = i join documents b on b.doc_id = j)"
@@ -665,12 +690,12 @@ def _units(src: str, unit: str, o: str) -> str:
     return f"us as (select {unit} as unit, count(*) as n, sum(x) as x, sum(y) as y, sum({o}) as o, sum(x * x) as xx, sum(y * y) as yy, sum({o} * {o}) as oo, sum(x * y) as xy, sum({o} * y) as oy from {src} group by {unit})"
 
 
-@query("a14_event_bootstrap", _boot_sql(f"{SCORES}, {_units('sc', 'system', 'x')}", False, 2000))
+@query("a14_event_bootstrap", _boot_sql(f"{SCORES}, {_units('sc', 'system', 'x')}", False, 10000))
 def a14(spark, d):
     return _r(E.bootstrap(_scores(spark, d), "x", "y", "system", REPLICATES), "ci_low", "ci_high")
 
 
-@query("a15_paired_bootstrap", _boot_sql(f"{SCORES}, s2 as (select *, x + y / 100 as z from sc), {_units('s2', 'system', 'z')}", True, 2000))
+@query("a15_paired_bootstrap", _boot_sql(f"{SCORES}, s2 as (select *, x + y / 100 as z from sc), {_units('s2', 'system', 'z')}", True, 10000))
 def a15(spark, d):
     return _r(E.bootstrap(_scores(spark, d).withColumn("z", F.col("x") + F.col("y") / 100), "x", "y", "system", REPLICATES, other="z"), "ci_low", "ci_high")
 
@@ -783,14 +808,6 @@ def a6(spark, d):
     return _r(E.support_rate(_t(spark, d, "labels").withColumn("l", F.get(names, (F.col("doc_id") % 4).cast("int"))), "l", ["toxic"]), "support_rate")
 
 
-@query("a5_keyphrase_alignment")
-def a5(spark, d):
-    b = _t(spark, d, "benchmark")
-    ph = b.select("item_id", F.posexplode(T.keyphrases("text")).alias("p", "phrase"))
-    se = b.select("item_id", F.posexplode(T.sentences("text")).alias("i", "sentence"))
-    return _r(E.align_phrases(ph, se, ["item_id"]), "score")
-
-
 # ---------------------------------------------------------------- ranks, joins, sets
 
 
@@ -806,7 +823,7 @@ def w2(spark, d):
     return _r(R.full_coverage_ranking(s, "system", "event", "x"), "mean", places=4)
 
 
-@query("w3_rank_agreement", f"with {SCORES}, m as (select system, avg(x) as x, avg(y) as y from sc group by system), r as (select rank() over (order by x desc) as ra, rank() over (order by y desc) as rb from m) select count(*) as n, round(avg(abs(ra - rb)), 6) as mean_rank_distance, count(*) filter (where ra = 1 and rb = 1) = 1 as top1_match, count(*) filter (where ra <= 3 and rb <= 3) as top_overlap, round(count(*) filter (where ra <= 3 and rb <= 3) / (6.0::double - count(*) filter (where ra <= 3 and rb <= 3)), 6) as top_jaccard from r")
+@query("w3_rank_agreement", f"with {SCORES}, m as (select system, avg(x) as x, avg(y) as y from sc group by system), r as (select rank() over (order by x desc) as ra, rank() over (order by y desc) as rb from m) select count(*) as n, round(avg(abs(ra - rb)), 6) as mean_rank_distance, count(*) filter (where ra = 1 and rb = 1) = 1 as top1_match, count(*) filter (where ra <= 3 and rb <= 3) as top_overlap, round(count(*) filter (where ra <= 3 and rb <= 3) / (6.0::double - count(*) filter (where ra <= 3 and rb <= 3)), 6) as top_jaccard, round(corr(ra, rb), 6) as rho, (select round(sum(sign(p.ra - q.ra) * sign(p.rb - q.rb))::double / sqrt(sum(abs(sign(p.ra - q.ra))) * sum(abs(sign(p.rb - q.rb)))), 6) from r p join r q on p.ra < q.ra) as tau from r")
 def w3(spark, d):
     m = _scores(spark, d).groupBy("system").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     return _r(R.ranking_agreement(m, "system", "x", "y"), "mean_rank_distance", "top_jaccard")
@@ -822,12 +839,6 @@ def w5(spark, d):
     return R.ordered_text(e, "event_type", "props", "time", "event_id").withColumn("h", F.md5("source_text")).drop("source_text")
 
 
-@query("w7_top_paragraphs")
-def w7(spark, d):
-    docs = _t(spark, d, "documents").withColumn("q", F.get(T.sentences("text"), F.lit(0)))
-    return R.top_paragraphs(docs, "doc_id", "text", "q").select("doc_id", F.md5("evidence").alias("h"))
-
-
 @query("w8_first_n", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 25")
 def w8(spark, d):
     return _t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey")
@@ -939,8 +950,11 @@ def u3(spark, d):
 
 
 def queries() -> dict:
+    from tessera.plans import flows  # noqa: F401 - adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

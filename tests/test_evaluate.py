@@ -61,3 +61,50 @@ def test_bootstrap_queries_take_all_replicates(spark, monkeypatch):
     for q in (Q.a14, Q.a15):
         r = q(spark, "").first()
         assert r["estimates"] + r["skipped"] == 10_000
+
+
+def test_phrases_meet_their_best_sentence(spark):
+    ph = spark.createDataFrame([(1, 0, "Red fox"), (1, 1, "red, fox"), (1, 2, "a fox ran home"), (1, 3, "qqq"), (2, 0, "alone")], "k int, p int, phrase string")
+    se = spark.createDataFrame([(1, 0, "No match here."), (1, 1, "The Red fox sat."), (1, 2, "It was a red  fox, that fox ran.")], "k int, i int, sentence string")
+    got = {(r["k"], r["p"]): (r["i"], r["how"]) for r in E.align_phrases(ph, se, ["k"]).collect()}
+    assert got == {(1, 0): (1, "exact"), (1, 1): (2, "casefold"), (1, 2): (2, "overlap"), (1, 3): (0, "semantic"), (2, 0): (-1, "none")}
+
+
+def test_wording_cases(spark):
+    rows = [(None, 0.1, 0.2, "insufficient_stats"), (0.2, 0.1, 0.3, "A"), (0.2, -0.1, 0.3, "B"), (0.01, 0.005, 0.02, "B"), (-0.1, -0.2, -0.05, "C")]
+    d = spark.createDataFrame(rows, "d double, low double, high double, want string")
+    assert all(r["want"] == r["got"] for r in d.withColumn("got", E.wording(F.lit(True), F.col("d"), F.col("low"), F.col("high"))).collect())
+    assert d.where(E.wording(F.lit(False), F.col("d"), F.col("low"), F.col("high")) == "C").count() == 4
+
+
+def test_one_failing_row_leaves_the_others(spark):
+    d = spark.createDataFrame([(1,), (0,), (4,)], "x int").withColumn("r", E.isolated(lambda x: 8.0 / x, "double")("x"))
+    assert [(r["r"]["value"], r["r"]["error"] and r["r"]["error"].split(":")[0]) for r in d.collect()] == [(8.0, None), (None, "ZeroDivisionError"), (2.0, None)]
+
+
+def test_a_metric_with_labels(spark):
+    s = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.1)], "k string, x double")
+    l = spark.createDataFrame([("a", "success", 0.2), ("b", "success", 0.3), ("c", "success", 1.0), ("d", "success", None), ("e", "failed", 0.1)], "k string, state string, y double")
+    assert {r["k"]: r["why"] for r in R.scores_with_labels(s, l, "k", "state", "y", "x").collect()} == {"a": "used", "b": "missing_sim", "c": "skip_score1", "d": "missing_sim", "e": "skip_state"}
+
+
+def test_matches_and_what_has_none(spark):
+    left = spark.createDataFrame([(1, 0, "a b c d e f g h"), (1, 1, "quite another text"), (2, 0, "x")], "u int, i int, text string")
+    right = spark.createDataFrame([(1, 0, "a  b c d e f g h"), (1, 1, "zzz")], "u int, j int, text string")
+    m = R.greedy_match(left, right, "u")
+    assert [(r["u"], r["i"], r["j"]) for r in m.collect()] == [(1, 0, 0)]
+    assert {(r["u"], r["i"], r["reason"]) for r in R.match_ledger(left, right, m, "u").collect()} == {(1, 1, "below_threshold"), (2, 0, "no_label")}
+
+
+def test_posts_are_cleaned(spark):
+    x = spark.createDataFrame([("RT  hi\r\n@Ünal see HTTPS://a.b/ü #Größe \U0001F600 ﬁn ",), (None,)], "t string")
+    assert [r[0] for r in x.select(T.clean_post("t")).collect()] == ["RT hi USER see URL Größe \U0001F600 fin", ""]
+    assert x.select(T.clean_post("t", retweet=True, emoji=True, style="angle")).first()[0] == "hi <USER> see <URL> Größe fin"
+
+
+def test_links_and_ids(spark):
+    x = spark.createDataFrame([(" Q5 ", 7, "n"), ("none", 7, "n"), (" ", None, "n"), (None, -1, "n"), ("NIL", None, None)], "d string, w int, n string")
+    assert [r[0] for r in x.select(T.kb_id("d", "w", "n")).collect()] == ["wd:Q5", "wiki:7", None, None, "wd:NIL"]
+    assert [r[0] for r in x.select(T.kb_id("d", None, "n")).collect()] == ["wd:Q5", "wiki:n", "wiki:n", "wiki:n", "wd:NIL"]
+    ids = spark.createDataFrame([("a_b_candidate",), ("a_humman_summary",), ("a_summary",)], "x string").select(T.split_id("x").alias("s")).collect()
+    assert [r["s"] and tuple(r["s"]) for r in ids] == [("a_b", "candidate"), ("a", "human"), None]
