@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.functions import text as T
+from tessera.sources.tables import settle
 
 
 def _by(keys: list[str] | None) -> list[str]:
@@ -28,6 +29,17 @@ def average_rank(x: Column | str, keys: list[str] | None = None, descending: boo
     return F.rank().over(w.orderBy(x.desc() if descending else x)) + (F.count("*").over(w.partitionBy(*by, x)) - 1) / 2
 
 
+def ranked(df: DataFrame, x: str, out: str) -> DataFrame:
+    """``out``: average rank of x over the whole table, null first. Rows go to tasks by ranges of x, are ranked there, and the counts of the
+    ranges before are added, so no task ranks more than its range."""
+    pid = f"_range_of_{out}"
+    parts = settle(df.repartitionByRange(F.col(x)).withColumn(pid, F.spark_partition_id()), "ranges")
+    counts = parts.groupBy(pid).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = counts.select(pid, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return parts.join(starts, pid).withColumn(out, F.col("_before") + average_rank(x, [pid])).drop(pid, "_before")
+
+
 def finite_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(T.finite(x).isNotNull() & T.finite(y).isNotNull())
 
@@ -65,6 +77,9 @@ def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least:
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least: int = 3) -> DataFrame:
     """Pearson's r of average ranks."""
     p = finite_pairs(df, x, y)
+    if not keys:
+        p = ranked(ranked(p.select(F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", x), "_y", y)
+        return pearson(p, x, y, None, least)
     return pearson(p.withColumn(x, average_rank(x, keys)).withColumn(y, average_rank(y, keys)), x, y, keys, least)
 
 
@@ -237,6 +252,38 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     return g.agg(k.alias("groups"), n.cast("long").alias("n"), F.try_divide(between / (k - 1), within / (n - k)).alias("f"))
 
 
+def tukey(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(a, b, difference, q, p): for each two groups the difference of means, b less a, its studentised range statistic and p-value, from each group's sums."""
+    g = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("a")).agg(F.count("*").cast("double").alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    # one row a group: groups are few
+    total = g.agg(F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("w"), F.sum("n").alias("all"), F.count("*").alias("k"))
+    mean = lambda x, s: g.select(F.col("a").alias(x), (F.col("s") / F.col("n")).alias("m" + s), F.col("n").alias("n" + s))
+    p = mean("a", "1").join(mean("b", "2"), F.col("a") < F.col("b")).crossJoin(total)
+    free = F.col("all") - F.col("k")
+    q = F.try_divide(F.abs(F.col("m2") - F.col("m1")), F.sqrt(F.try_divide(F.col("w"), free) / 2 * (1 / F.col("n1") + 1 / F.col("n2"))))
+    return p.select("a", "b", (F.col("m2") - F.col("m1")).alias("difference"), q.alias("q"), range_p_value(q, F.col("k").cast("double"), free).alias("p"))
+
+
+def _range_tail(q: float, k: int, v: float) -> float:
+    """P(Q > q) of the studentised range of k normal means with v degrees of freedom, by sums over fine grids."""
+    if not q > 0:
+        return 1.0
+    z = np.linspace(-9, 9, 1201)
+    cdf = np.array([0.5 * math.erfc(-t / math.sqrt(2)) for t in np.linspace(-60, 60, 24001)])
+    at = lambda t: np.interp(t, np.linspace(-60, 60, 24001), cdf)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    wide = 8 / math.sqrt(2 * v)
+    s = np.linspace(max(1e-6, 1 - wide), 1 + wide, 401)
+    log = math.log(2) + v / 2 * math.log(v / 2) - math.lgamma(v / 2) + (v - 1) * np.log(s) - v * s * s / 2
+    inner = k * np.trapezoid(density * np.maximum(at(z)[None, :] - at(z[None, :] - q * s[:, None]), 0) ** (k - 1), z, axis=1)
+    return float(min(1.0, max(0.0, 1 - np.trapezoid(np.exp(log) * inner, s))))
+
+
+@F.pandas_udf(DoubleType())
+def range_p_value(q: pd.Series, k: pd.Series, v: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(a) or c < 1 else _range_tail(a, int(b), c) for a, b, c in zip(q, k, v)], dtype="float64")
+
+
 def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     """Signed-rank sums of differences that are not zero."""
     d = df.select((F.col(x) - F.col(y)).alias("d")).where("d <> 0").withColumn("a", F.abs("d"))

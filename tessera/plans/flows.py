@@ -444,3 +444,13 @@ def a5(spark, d):
     se = b.select("item_id", F.posexplode(T.sentences("text")).alias("i", "sentence"))
     out = E.align_phrases(ph, se, ["item_id"])
     return _long(out.select("item_id", "p", "tier", "how", F.when(F.col("tier") < 2, F.col("i")).otherwise(-2).alias("i")), "p", "tier", "i")
+
+
+@query(
+    "a19_tukey",
+    "with g as (select o_orderpriority as a, count(*)::double as n, avg(o_totalprice) as m, sum(o_totalprice * o_totalprice) - sum(o_totalprice) * sum(o_totalprice) / count(*) as w from orders group by 1), t as (select sum(w) / (sum(n) - count(*)) as mse from g) select x.a, y.a as b, round(y.m - x.m, 3) as difference, round(abs(y.m - x.m) / sqrt(mse / 2 * (1 / x.n + 1 / y.n)), 4) as q from g x join g y on x.a < y.a, t",
+)
+def a19(spark, d):
+    """Tukey's pairwise comparison; its p-values, which SQL has not, are held against published critical values in the tests."""
+    t = E.tukey(_t(spark, d, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("x")), "o_orderpriority", "x")
+    return _r(_r(t.select("a", "b", "difference", "q"), "difference", places=3), "q", places=4)

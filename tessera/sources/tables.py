@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,16 @@ def scratch() -> Iterator[None]:
         _clean(start)
 
 
+def settled(make: Callable[[], DataFrame], name: str = "t") -> DataFrame:
+    """``settle`` of what ``make`` returns; all other tables that it has written on its way are deleted."""
+    start = len(_written)
+    out = settle(make(), name)
+    last = _written.pop()
+    _clean(start)
+    _written.append(last)
+    return out
+
+
 def _clean(start: int = 0) -> None:
     while len(_written) > start:
         spark, path = _written.pop()

@@ -108,3 +108,43 @@ def test_links_and_ids(spark):
     assert [r[0] for r in x.select(T.kb_id("d", None, "n")).collect()] == ["wd:Q5", "wiki:n", "wiki:n", "wiki:n", "wd:NIL"]
     ids = spark.createDataFrame([("a_b_candidate",), ("a_humman_summary",), ("a_summary",)], "x string").select(T.split_id("x").alias("s")).collect()
     assert [r["s"] and tuple(r["s"]) for r in ids] == [("a_b", "candidate"), ("a", "human"), None]
+
+
+def test_studentised_range():
+    # published critical values of the five per cent level: (groups, degrees of freedom)
+    for k, v, q in ((3, 20, 3.578), (2, 10, 3.151), (5, 30, 4.102), (4, 60, 3.737)):
+        assert E._range_tail(q, k, v) == pytest.approx(0.05, abs=4e-4)
+
+
+def test_ranks_over_ranges(spark):
+    values = [float(k * 37 % 50) for k in range(400)] + [7.0] * 100
+    d = spark.createDataFrame([(v,) for v in values], "x double")
+    want = {v: sum(w < v for w in values) + (values.count(v) + 1) / 2 for v in values}
+    assert all(r["r"] == want[r["x"]] for r in E.ranked(d, "x", "r").collect())
+
+
+def test_tables_of_a_step_go_with_it(spark, tmp_path):
+    from tessera.sources import tables
+
+    seen = []
+
+    def make():
+        seen.append(tables.settle(spark.range(3), "inner"))
+        return seen[0].selectExpr("id + 1 as id")
+
+    before = len(tables._written)
+    out = tables.settled(make, "outer")
+    assert sorted(r[0] for r in out.collect()) == [1, 2, 3] and len(tables._written) == before + 1
+    with pytest.raises(Exception):
+        spark.read.parquet(seen[0].inputFiles()[0]).count()
+    with tables.scratch():
+        tables.settle(spark.range(2))
+    assert len(tables._written) == before + 1
+
+
+def test_few_splits_are_dealt_out(spark):
+    from tessera.sources.tables import dealt
+
+    assert dealt(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, 64)
+    assert dealt(wide) is wide
