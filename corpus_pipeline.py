@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, neardup, quality, sharding
-from tessera.llm.common import read, settle
+from tessera.llm.common import read
+from tessera.sources.tables import settled
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)  # a stage's own tables go when its result is written
     return docs
