@@ -454,3 +454,32 @@ def a19(spark, d):
     """Tukey's pairwise comparison; its p-values, which SQL has not, are held against published critical values in the tests."""
     t = E.tukey(_t(spark, d, "orders").select("o_orderpriority", F.col("o_totalprice").cast("double").alias("x")), "o_orderpriority", "x")
     return _r(_r(t.select("a", "b", "difference", "q"), "difference", places=3), "q", places=4)
+
+
+def _similar_sql() -> str:
+    h = _hist().replace("select x.which, x.pair, x.etype,", "select x.which, x.pair, x.etype, x.round, x.a, x.b,").replace("* yfa * yfb) as s from (", "* yfa * yfb * coalesce(sim, 1)) as s from (")
+    h = h[: h.rindex(") group by all)")] + ") t left join sim using (pair, round, a, b, etype) where which = 'k01' group by which, pair, etype)"
+    head, tail = h.split("ent_ as materialized", 1)
+    sim = """v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings), m as (select count(*) as m from embeddings),
+    ve as materialized (select doc, ord, e from nodes join v on v.vec_id = try_cast(substr(name, 3) as bigint) % (select m from m) where kind = 'Entity'),
+    el as materialized (select s.doc, p.round, p.label as a, q.label as b, s.etype, x.e as eu, y.e as ev from simple s join ve x on x.doc = s.doc and x.ord = s.u join ve y on y.doc = s.doc and y.ord = s.v
+      join lab p on p.doc = s.doc and p.n = s.u join lab q on q.doc = s.doc and q.n = s.v and q.round = p.round where s.etype = 'entity-entity'),
+    sim as materialized (select pair, x.round, x.a, x.b, x.etype, avg(greatest(list_cosine_similarity(x.eu, y.eu), 0)) * avg(greatest(list_cosine_similarity(x.ev, y.ev), 0)) as sim
+      from pairs join el x on x.doc = i join el y on y.doc = j and y.round = x.round and y.a = x.a and y.b = x.b group by all), """
+    return f"with {GRAPH}, {WL}, {PAIRS}, {head}{sim}ent_ as materialized{tail} select p.pair, round(coalesce(sum(s), 0), 6) as score from pairs p left join ent_ using (pair) group by p.pair"
+
+
+@query("k3_vector_kernel", _similar_sql())
+def k3_vectors(spark, d):
+    """The kernel with the similarity of the entities' vectors as a factor of each key, all types of weight 1, unnormalised."""
+    graphs, pairs = _facts(spark, d), A.neighbours(_t(spark, d, "documents"))
+    packed = K.packed_facts(graphs)
+    emb = _t(spark, d, "embeddings")
+    n = G.nodes_of(graphs).where("kind = 'Entity'").crossJoin(emb.agg(F.count("*").alias("m")))  # one row
+    vec = n.select(F.col("doc").alias("g"), F.col("ord").alias("n"), F.expr("cast(substring(name, 3) as bigint) % m").alias("vec_id")).join(emb.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "vec_id")
+    labels = settle(K.wl_labels(packed, 1), "labels")
+    end = lambda n, c: labels.select("g", F.col("n").alias(n), "round", F.col("label").alias(c))
+    e = G.simple_of(graphs).where("etype = 'entity-entity'").withColumnRenamed("doc", "g").join(end("u", "a"), ["g", "u"]).join(end("v", "b"), ["g", "v", "round"])
+    sim = K.pair_similarity(e, pairs, vec, ("round", "a", "b", "etype"))
+    s = K.shares(K.flat(settle(K.histograms(packed), "histograms", 8 << 20)), pairs, similarity=sim)
+    return _r(pairs.select("pair").join(s.groupBy("pair").agg(F.sum("s").alias("score")), "pair", "left").na.fill(0.0), "score")
