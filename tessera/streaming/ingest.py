@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.operators.graph import build_graph
+from tessera.operators.graph import edges_of, facts, nodes_of
+from tessera.sources.tables import scratch, settle
 
 
 def stream_sections(spark: SparkSession, path: str, schema: str, files: int = 1000) -> DataFrame:
@@ -18,11 +18,12 @@ def keep_new(stream: DataFrame, key: str, time: str, late: str = "1 day") -> Dat
 
 
 def write_graphs(stream: DataFrame, out: str, checkpoint: str, doc: str = "doc"):
-    """Graphs of each batch appended to out/nodes and out/edges; a repeated batch overwrites its own folder."""
+    """Graphs of each batch under out/nodes and out/edges by batch; a repeated batch overwrites its own folder."""
 
     def each(batch: DataFrame, number: int) -> None:
-        nodes, edges = build_graph(batch, doc)
-        nodes.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/nodes/batch={number}")
-        edges.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
+        with scratch():
+            graphs = settle(facts(batch, doc), "facts", 8 << 20)
+            nodes_of(graphs).write.mode("overwrite").parquet(f"{out}/nodes/batch={number}")
+            edges_of(graphs).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
