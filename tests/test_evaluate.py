@@ -148,3 +148,19 @@ def test_few_splits_are_dealt_out(spark):
     assert dealt(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, 64)
     assert dealt(wide) is wide
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_pearson_gathers_no_key_in_one_task(spark, keys):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=400)
+    y = 0.3 * x + rng.normal(size=400)
+    d = spark.createDataFrame([("a", float(a + 1e8), float(b - 1e7)) for a, b in zip(x, y)], "k string, x double, y double")
+    r = E.pearson(d, "x", "y", keys)
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    assert r.first()["coefficient"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-7)
+    m = d.select("k", F.lit(1.0).alias("t"), F.create_map(F.lit("m"), "x").alias("m"))
+    assert tuple(E.metric_matrix(m, "m", "t", "k").first()) == ("a", "m", 400, None, "undefined_constant_input")
