@@ -72,3 +72,15 @@ def test_windows_with_planted_faults(spark):
     assert got == [(1, "no_advance"), (1, "over_cap"), (2, "not_a_slice"), (2, "uncovered")]
     assert X.violations(X.windows(d, cap=5, overlap=1), d, cap=5).count() == 0
     assert X.violations(w.where(F.col("window_id") == 0), d).first()["problem"] == "uncovered"
+
+
+def test_coverages_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(X, "HELD", 50)
+    d = spark.createDataFrame([*enumerate(_texts(30, 3)), (98, None), (99, "  x y  ")], "doc_id int, text string")
+    tokens, rows = X.token_spans(d), X.coverages(d, cap=12, overlap=3).frame()
+    for mode in ("prefix", "sliding"):
+        win = X.windows(d, cap=12, overlap=3, mode=mode)
+        want = sorted((r["doc"], r["n_tokens"], r["ratio"]) for r in X.coverage(tokens, win).collect())
+        assert sorted((r["doc"], r["n_tokens"], r[mode]) for r in rows.collect()) == want
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
