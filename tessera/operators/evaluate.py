@@ -6,9 +6,13 @@ Correlations look at finite pairs only and are guarded: too few pairs or a const
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -285,14 +289,37 @@ def wilcoxon(df: DataFrame, x: str, y: str) -> DataFrame:
     return g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(F.col("r") * (F.col("n") - F.col("p"))).alias("w_minus"))
 
 
+_WORD = re.compile("[a-z0-9]+")
+
+
+def _overlap(pairs: DataFrame, candidate: str, reference: str, keys: list[str], n: int, hits: Callable[[list[str], list[str]], int]) -> DataFrame:
+    """(keys, precision, recall, f1) of runs of n words, from each pair's row alone: words are made, compared and dropped a pair at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("_a"), batch.column("_b")
+            out = []
+            for k in range(len(batch)):
+                x, y = (_WORD.findall(c[k].as_py() or "") for c in (a, b))
+                out.append((hits(x, y), float(max(0, len(x) - n + 1)), float(max(0, len(y) - n + 1))))
+            cols = [pa.array([r[c] for r in out], k) for c, k in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], *cols], [*keys, "hit", "nc", "nr"])
+
+    d = pairs.select(*keys, F.lower(F.col(candidate)).alias("_a"), F.lower(F.col(reference)).alias("_b"))
+    kinds = dict(d.dtypes)
+    return _prf(d.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", hit bigint, nc double, nr double"), keys)
+
+
 def rouge_n(pairs: DataFrame, candidate: str, reference: str, n: int, keys: list[str]) -> DataFrame:
     """(keys, precision, recall, f1) by clipped n-gram counts."""
-    grams = lambda c: pairs.select(*keys, F.explode(T.ngrams(T.words(c), n)).alias("g")).groupBy(*keys, "g")
-    c, r = grams(candidate).agg(F.count("*").alias("c")), grams(reference).agg(F.count("*").alias("r"))
-    hit = c.join(r, [*keys, "g"]).groupBy(*keys).agg(F.sum(F.least("c", "r")).alias("hit"))
-    size = lambda c: F.greatest(F.size(T.words(c)) - n + 1, F.lit(0)).cast("double")
-    out = pairs.select(*keys, size(candidate).alias("nc"), size(reference).alias("nr")).join(hit, keys, "left").na.fill(0, ["hit"])
-    return _prf(out, keys)
+
+    def hits(a: list[str], b: list[str]) -> int:
+        grams = lambda w: zip(*[w[k:] for k in range(n)])
+        right = Counter(grams(b))
+        left = Counter(g for g in grams(a) if g in right)
+        return sum(min(c, right[g]) for g, c in left.items())
+
+    return _overlap(pairs, candidate, reference, keys, n, hits)
 
 
 def _prf(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -300,24 +327,24 @@ def _prf(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
+def common_words(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of its table is a whole number with a bit for each word of ``b``, 0 where the length grows."""
+    at: dict[str, int] = {}
+    for k, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        if m := at.get(w):
+            up = row & m
+            row = ((row + up) | (row - up)) & full
+    return len(b) - row.bit_count()
+
+
 def rouge_l(pairs: DataFrame, candidate: str, reference: str, keys: list[str]) -> DataFrame:
-    """(keys, precision, recall, f1) by the longest common subsequence of words, two rows of the table at a time."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for a, b in zip(pdf["_a"], pdf["_b"]):
-                a, b = list(a), np.array(list(b), dtype=object)
-                row = np.zeros(len(b) + 1, dtype=np.int64)
-                for x in a:
-                    diagonal = np.where(b == x, row[:-1] + 1, 0) if len(b) else np.zeros(0, np.int64)
-                    row = np.maximum.accumulate(np.maximum(row, np.concatenate([[0], diagonal])))
-                rows.append(int(row[-1]))
-            yield pd.concat([pdf[keys], pd.DataFrame({"hit": rows, "nc": [float(len(x)) for x in pdf["_a"]], "nr": [float(len(x)) for x in pdf["_b"]]}, index=pdf.index)], axis=1)
-
-    d = pairs.select(*keys, T.words(candidate).alias("_a"), T.words(reference).alias("_b"))
-    kinds = dict(d.dtypes)
-    return _prf(d.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", hit bigint, nc double, nr double"), keys)
+    """(keys, precision, recall, f1) by the longest common subsequence of words."""
+    return _overlap(pairs, candidate, reference, keys, 1, common_words)
+
 
 
 def multi_reference(scores: DataFrame, keys: list[str], value: str = "f1", method: str = "mean") -> DataFrame:

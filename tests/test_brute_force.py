@@ -84,3 +84,21 @@ def test_coverages_of_a_row(spark, monkeypatch):
         assert sorted((r["doc"], r["n_tokens"], r[mode]) for r in rows.collect()) == want
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_rouge_of_a_pair_in_its_row(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = (["w%d" % rng.randrange(6) for _ in range(rng.randrange(90))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            old = row[:]
+            for k, y in enumerate(b):
+                row[k + 1] = old[k] + 1 if x == y else max(old[k + 1], row[k])
+        assert E.common_words(a, b) == row[-1]
+    p = spark.createDataFrame([(1, "a b a b C", "b a b"), (2, None, "x"), (3, "x", ""), (4, "a", "b c")], "k int, a string, b string")
+    for r in (E.rouge_n(p, "a", "b", 2, ["k"]), E.rouge_l(p, "a", "b", ["k"])):
+        plan = r._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan and "Generate" not in plan
+    got = {r["k"]: tuple(r)[1:] for r in E.rouge_n(p, "a", "b", 2, ["k"]).collect()}
+    assert got == {1: (0.5, 1.0, pytest.approx(2 / 3)), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0)}
